@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, packing, token_orc
+from . import common, decontaminate, near_dedup, packing, token_orc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +15,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -30,6 +34,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_packing": op4_packing,
     "op6_token_orc": op6_token_orc,
     "op9_decontamination": op9_decontamination,
