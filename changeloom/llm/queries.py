@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, near_dedup, packing, token_orc
+from . import common, decontaminate, language_id, near_dedup, packing, token_orc, toxicity
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -23,12 +23,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    """Fitted on the documents that aren't held out."""
+    return language_id.fit(docs.filter(common.crc32_mod("doc_id", 4) != 2))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_model(docs))
+    return found.select("doc_id", (common.crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     token_orc.write_token_orc(common.table(spark, sf_dir, "documents"), path, tokenizer_file())
     return token_orc.with_ids_crc32(token_orc.read_token_orc(spark, path))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Fitted on the labels that aren't held out."""
+    labels = common.table(spark, sf_dir, "labels").filter(common.crc32_mod("doc_id", 5) != 0)
+    return toxicity.fit(docs, labels)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", (common.crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +59,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_token_orc": op6_token_orc,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
 
