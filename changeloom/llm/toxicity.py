@@ -29,7 +29,9 @@ from .common import bounded_broadcast, filled, materialise
 SAMPLE, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
 #: An entry's least documents, and its least log ratio of toxic to other documents.
 LEAST_DOCS, LEAST_RATIO = 3, 2.5
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+#: What a text still counts for the next entry, for each entry already chosen in it.
+DECAY = 0.7
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "circus clown", "rodeo clown", "clown fish", "not stupid", "not worthless")
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
@@ -117,7 +119,7 @@ class Matcher:
 def choose_entries(candidates: dict[str, float], toxic: list[list[str]], least: float, limit: int = ENTRIES) -> list[str]:
     """Entries that explain toxic texts which others don't yet.
 
-    Each text counts half as much for each entry already chosen in it, so what merely stands beside known entries in
+    Each text counts less for each entry already chosen in it, so what merely stands beside known entries in
     many copies of a text is left out. Of equals, words go before beginnings, and longer before shorter.
     """
     inside: dict[str, list[int]] = {}
@@ -142,7 +144,7 @@ def choose_entries(candidates: dict[str, float], toxic: list[list[str]], least:
             continue
         out.append(t)
         for k in inside[t]:
-            weight[k] /= 2
+            weight[k] *= DECAY
     return out
 
 
