@@ -8,6 +8,8 @@ the text. Texts in which a space touches other white space, or that may hold an
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 
 import numpy as np
@@ -17,7 +19,9 @@ import pyarrow.compute as pc
 from .common import byte_offsets, text_bytes
 
 #: Distinct words kept from batch to batch, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 64
+#: Words that the library gets as one string.
+JOINED_WORDS = 50_000
 
 
 @functools.cache
@@ -28,36 +32,65 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def id_bytes(tokenizer_path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
+    return out
+
+
+@functools.cache
+def batch_encoder(path: str) -> BatchEncoder:
+    """One for all tasks of a worker, so that they share the words learned."""
+    return BatchEncoder(path)
+
+
 class BatchEncoder:
     """``encode(texts)`` gives all ids as one int32 array and the offsets of each text's ids."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.id_sizes = np.array([len(b) for b in id_bytes(path)], np.int64)
         self.words: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.words.clear()
-        self.ids, self.starts, self.counts = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.n_words = self.n_ids = 0
+        self.ids, self.sizes, self.n_words = [], [], 0
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        rows = [e.ids for e in found]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        while self.n_ids + sizes.sum() > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n_words + len(rows) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-        total = int(sizes.sum())
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for r in rows for i in r), np.int32, total)
-        self.starts[self.n_words : self.n_words + len(rows)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.counts[self.n_words : self.n_words + len(rows)] = sizes
-        for k, w in enumerate(words):
-            self.words[w] = self.n_words + k
-        self.n_words += len(rows)
-        self.n_ids += total
+        """Words that start with their only space are encoded end to end, and cut by the bytes of the ids."""
+        plain = [w[:1] == " " and len(w) > 1 and not (w[1].isspace() or w[-1].isspace()) for w in words]
+        inner = [w for w, x in zip(words, plain, strict=True) if x]
+        outer = [w for w, x in zip(words, plain, strict=True) if not x]
+        for a in range(0, len(inner), JOINED_WORDS):
+            part = inner[a : a + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            behind = np.cumsum(self.id_sizes[ids])
+            cuts = np.searchsorted(behind, ends) + 1
+            if behind[-1] != ends[-1] or (behind[cuts - 1] != ends).any():
+                outer += part
+            else:
+                self._keep(part, ids, np.diff(cuts, prepend=0))
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(outer, add_special_tokens=False)] if outer else []
+        if rows:
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            self._keep(outer, np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(sizes.sum())), sizes)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+        self.words.update(zip(words, range(self.n_words, self.n_words + len(words)), strict=True))
+        self.n_words += len(words)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """texts: strings without nulls."""
@@ -74,60 +107,55 @@ class BatchEncoder:
         first -= first[0]
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy().astype(np.int64) * 2 + 1  # with the space before it
+        codes = coded.indices.to_numpy() * 2 + 1  # with the space before it
         codes[first[:-1]] -= 1  # a text's first part has none
         used = np.zeros(2 * len(words), bool)
         used[codes] = True
         if self.n_words > CACHE_WORDS:
             self._forget()
-        slot, new, strings = np.zeros(2 * len(words), np.int64), [], []
-        for c in np.flatnonzero(used).tolist():
-            w = f" {words[c >> 1]}" if c & 1 else words[c >> 1]
-            k = self.words.get(w, -1)
-            if k < 0:
-                new.append(c)
-                strings.append(w)
-            slot[c] = k
+        wanted = np.flatnonzero(used)
+        asked = [f" {words[c >> 1]}" if c & 1 else words[c >> 1] for c in wanted.tolist()]
+        strings = [w for w in asked if w not in self.words]
         if strings:
-            base = self.n_words
             self._learn(strings)
-            slot[new] = base + np.arange(len(new))
-        at_word = slot[codes]
-        counts = self.counts[at_word]
-        ends = np.cumsum(counts)
-        out = self.ids[np.repeat(self.starts[at_word] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        slot = np.zeros(2 * len(words), np.int32)
+        slot[wanted] = np.fromiter(map(self.words.__getitem__, asked), np.int32, len(asked))
+        if len(self.ids) > 1:
+            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes[0])]).astype(np.int32)), pa.array(self.ids[0]))
+        taken = by_word.take(pa.array(slot[codes]))
+        out, offsets = taken.values.to_numpy(), taken.offsets.to_numpy()[first].astype(np.int64)
         for w in strings:
             if len(w) > CACHE_WORD_BYTES:
                 del self.words[w]  # long parts would fill the cache
-        offsets = np.concatenate([[0], ends])[first]
         if odd.any():
             return self._merge(texts, odd, out, offsets)
         return out, offsets
 
     def _whole(self, texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Texts that can't be cut at single spaces."""
-        space = data == 32
-        white = space | ((data >= 9) & (data <= 13)) | (data >= 0x80)  # any other white space is not ASCII
-        touch = space[1:] & white[:-1] & ~((data[:-1] >= 0x80) & ~self._odd_white(data)[:-1])
-        sums = np.concatenate([[0], np.cumsum(np.concatenate([[False], touch]))])
-        odd = (sums[at[1:]] - sums[np.minimum(at[:-1] + 1, at[1:])]) > 0
+        spaces = np.flatnonzero(data == 32)
+        spaces = spaces[spaces > 0]
+        before = data[spaces - 1]
+        touch = (before == 32) | ((before >= 9) & (before <= 13))
+        far = np.flatnonzero(before >= 0x80)
+        touch[far] = self._odd_white(data, spaces[far] - 1)
+        at_text = np.searchsorted(at, spaces[touch], side="right") - 1
+        at_text = at_text[spaces[touch] > at[at_text]]  # a text's first byte touches nothing
+        odd = np.zeros(len(texts), bool)
+        odd[at_text] = True
         for token in self.added:
             odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         return odd
 
     @staticmethod
-    def _odd_white(data: np.ndarray) -> np.ndarray:
-        """At the last byte of white space outside ASCII (U+0085, U+00A0, U+1680, U+2000-200A, U+2028-2029, U+202F, U+205F, U+3000)."""
-        out = np.zeros(len(data), bool)
-        if len(data) > 1:
-            out[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-        if len(data) > 2:
-            a, b, c = data[:-2], data[1:-1], data[2:]
-            out[2:] |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
-            out[2:] |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
-            out[2:] |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
-            out[2:] |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
-        return out
+    def _odd_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether these bytes end white space outside ASCII (U+0085, U+00A0, U+1680, U+2000-200A, U+2028-2029, U+202F, U+205F, U+3000)."""
+        c, b, a = (data[np.maximum(at - k, 0)] for k in range(3))
+        out = (b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+        out |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        out |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        return out | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
 
     def _direct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BatchEncoder
+from .bpe import batch_encoder
 from .common import filled, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = BatchEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = batch_encoder(tokenizer_path), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         held = pool = 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import BatchEncoder
+from .bpe import batch_encoder
 from .common import filled, partitions, range_of, range_splits, slices
 
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, ids array<int>"
@@ -37,7 +37,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
     dealt = dealt.repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at_shard, start = BatchEncoder(tokenizer_path), None, 0
+        encoder, at_shard, start = batch_encoder(tokenizer_path), None, 0
         for batch in batches:
             texts = filled(batch.column("text"))
             for a, b in slices(texts):
