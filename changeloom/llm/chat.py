@@ -10,9 +10,7 @@ the rows' ids end to end), so that a conversation of any length takes bounded me
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
@@ -21,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BatchEncoder
+from .bpe import batch_encoder, id_bytes
 from .common import filled, slices
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
@@ -46,19 +44,6 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-@functools.cache
-def id_bytes(tokenizer_path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    out = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-    return out
-
-
 def reserved(tokenizer_path: str) -> tuple[int, int]:
     """Ids of ``START`` and ``END``, past the vocabulary."""
     n = len(id_bytes(tokenizer_path))
@@ -73,7 +58,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer_path)
+        encoder = batch_encoder(tokenizer_path)
         start, end = reserved(tokenizer_path)
         newline = encoder.encode(pa.array(["\n"]))[0]
         for batch in batches:

@@ -96,13 +96,6 @@ def text_bytes(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[2], dtype=np.uint8)[raw[0] : raw[-1]]
 
 
-def char_counts(array: pa.Array) -> np.ndarray:
-    """Code points of each text."""
-    data, at = text_bytes(array), byte_offsets(array)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return heads[at[1:]] - heads[at[:-1]]
-
-
 def split_mix(x: np.ndarray) -> np.ndarray:
     """The SplitMix64 finaliser over uint64."""
     x = x.astype(np.uint64, copy=True)

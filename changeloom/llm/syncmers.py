@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, char_counts, filled, partitions, range_of, range_splits, slices, split_mix, text_bytes
+from .common import byte_offsets, filled, partitions, range_of, range_splits, slices, split_mix, text_bytes
 
 K, S, SKETCH = 16, 5, 64
 
@@ -152,37 +152,34 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     dealt = rows.repartitionById(len(splits) + 1, F.col("to")).sortWithinPartitions("to", "follows", F.desc_nulls_last("doc_id"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # rows that wait for their next one: doc_id, text, follows, range
 
-        def out(rows_: list[tuple], last: bool):
-            """Rows but the last one with their next ones."""
-            pairs = [(a, b) for a, b in zip(rows_, rows_[1:], strict=False) if not a[2] and a[3] == b[3]]
-            if not pairs:
+        def compared(rows_: list[tuple]) -> Iterator[pa.RecordBatch]:
+            """All rows but the last, and but those that are there for the row before them."""
+            at = [k for k in range(len(rows_) - 1) if not rows_[k][2] and rows_[k][3] == rows_[k + 1][3]]
+            if not at:
                 return
-            edited = [a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2] for a, b in pairs]
-            mine, nexts, edits = (sketches(pa.array(x, pa.string())) for x in ([a[1] for a, _ in pairs], [pairs[-1][1][1]], edited))
-            following = [mine[k + 1] if k + 1 < len(pairs) and pairs[k + 1][0] is pairs[k][1] else None for k in range(len(pairs))]
-            following = [sketches(pa.array([pairs[k][1][1]], pa.string()))[0] if f is None and k + 1 < len(pairs) else f for k, f in enumerate(following)]
-            following[-1] = nexts[0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([a[0] for a, _ in pairs], pa.int64()),
-                    pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
-                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                    pa.array(list(map(to_text, mine)), pa.string()),
-                    pa.array(list(map(to_text, edits)), pa.string()),
-                    pa.array([likeness(x, y) for x, y in zip(mine, edits, strict=True)], pa.float64()),
-                    pa.array([likeness(x, y) for x, y in zip(mine, following, strict=True)], pa.float64()),
-                ],
-                [x.split()[0] for x in EDITED.split(", ")],
-            )
+            texts = [r[1] for r in rows_]
+            own = sketches(pa.array(texts, pa.string()))
+            edited = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k + 1][: len(texts[k]) // 2] for k in at]
+            edits = sketches(pa.array(edited, pa.string()))
+            columns = [
+                pa.array([rows_[k][0] for k in at], pa.int64()),
+                pa.array([len(texts[k]) for k in at], pa.int64()),
+                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+                pa.array([to_text(own[k]) for k in at], pa.string()),
+                pa.array([to_text(x) for x in edits], pa.string()),
+                pa.array([likeness(own[k], x) for k, x in zip(at, edits, strict=True)], pa.float64()),
+                pa.array([likeness(own[k], own[k + 1]) for k in at], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EDITED.split(", ")])
 
         for batch in batches:
             texts = filled(batch.column("text"))
             ids, follows, to = (batch.column(c).to_pylist() for c in ("doc_id", "follows", "to"))
             for a, b in slices(texts, 2 << 20):
                 held += zip(ids[a:b], texts.slice(a, b - a).to_pylist(), follows[a:b], to[a:b], strict=True)
-                yield from out(held, False)
+                yield from compared(held)
                 held = held[-1:]
 
     return dealt.mapInArrow(run, EDITED)
