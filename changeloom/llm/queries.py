@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, language_id, near_dedup, packing, syncmers, token_orc, toxicity
+from . import chat, common, decontaminate, language_id, near_dedup, packing, syncmers, token_orc, toxicity, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,14 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(common.table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "warc")
+    warc.register(spark)
+    warc.page_records(common.table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    found = spark.read.format("warc").option("verify", "true").load(path)
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to_id").alias("refers_to"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -72,6 +80,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_syncmers": op2_syncmers,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_token_orc": op6_token_orc,
