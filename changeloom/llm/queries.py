@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, language_id, near_dedup, packing, syncmers, token_orc, toxicity, warc
+from . import chat, common, decontaminate, language_id, lm_score, near_dedup, packing, syncmers, token_orc, toxicity, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +77,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    target = common.table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_score.score(docs, lm_score.fit(lm_score.with_target(docs, target)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_syncmers": op2_syncmers,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
