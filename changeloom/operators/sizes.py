@@ -1,0 +1,14 @@
+"""Broadcasts only behind a check of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that a broadcast side may have.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffle join that AQE may split."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

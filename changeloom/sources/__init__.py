@@ -1 +1 @@
-""""""
+"""Where changes come from and where versions go."""

@@ -1 +1 @@
-""""""
+"""The change feed as a Structured Streaming job."""
