@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,12 @@ def xid_status(xids: DataFrame, log: DataFrame, patch: DataFrame, tail: int, old
 
 
 def multixact_updater(offsets: DataFrame, members: DataFrame) -> DataFrame:
-    """J12. Of each multixact (mxid, start) the first member (pos, xid, kind) in its range with kind above 3; NULL if all only lock."""
-    spans = offsets.withColumn("stop", F.lead("start").over(Window.partitionBy("db").orderBy("mxid")))
-    inside = spans.filter("stop IS NOT NULL").withColumn("pos", F.explode(F.sequence("start", F.col("stop") - 1)))
+    """J12. Of each multixact (mxid, start) the first member (pos, xid, kind) in its range with kind above 3; NULL if all only lock.
+
+    Ids are dense: a range ends where that of mxid + 1 starts, and the last one is open and left out.
+    """
+    after = offsets.select((F.col("mxid") - 1).alias("mxid"), F.col("start").alias("stop"))
+    inside = offsets.join(after, "mxid").withColumn("pos", F.explode(F.sequence("start", F.col("stop") - 1)))
     hit = inside.join(members, "pos", "left").withColumn("_u", F.when(F.col("kind") > 3, F.col("xid")))
     return hit.groupBy("mxid").agg(F.min_by("_u", F.when(F.col("_u").isNotNull(), F.col("pos"))).alias("updater"))
 
