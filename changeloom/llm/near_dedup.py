@@ -12,8 +12,8 @@ Documents with equal sets are one class first. Then, over the classes:
 2. in buckets that hold several components, every class is compared with the one that meets most others, the likely
    centre of a group of near copies;
 3. buckets that still hold several components are compared in blocks of bounded size, across components only. Pairs
-   within the bound on the indexed symbols, and within ``LONG_DISTANCE`` on all ``SYMBOLS + MORE``, are confirmed on full
-   sets. At similarity 0.75 a pair expects 32 of 128 to differ, and passes 57 with a chance below 0.000001.
+   within the bound on the indexed symbols, and within ``LONG_DISTANCE`` on all ``SYMBOLS + MORE``, are confirmed there on
+   full sets. At similarity 0.75 a pair expects 32 of 128 to differ, and passes 57 with a chance below 0.000001.
 
 No link between different components is left out, and large groups of near copies cost a few comparisons a member.
 """
@@ -40,7 +40,7 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Symbols of 8 bits that are compared but not indexed, and how many of all may differ.
 MORE, LONG_DISTANCE = 98, 57
 #: Members of a bucket that one task compares with each other.
-BLOCK = 2048
+BLOCK = 1024
 
 _SEEDS = split_mix(np.arange(1, 2 * (SYMBOLS + MORE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULTIPLIERS, _SHIFTS = _SEEDS[: SYMBOLS + MORE] | np.uint64(1), _SEEDS[SYMBOLS + MORE :]
@@ -94,6 +94,12 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct_by_row(*shingles(words_of(texts, SPACED), SHINGLE))
 
 
+def _set_hash(values: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit hash of each row's set, 0 for empty ones."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(split_mix(values ^ _SHIFTS[k]), dtype=np.uint64)])
+    return np.where(np.diff(first) > 0, split_mix(sums[first[1:]] - sums[first[:-1]]), np.uint64(0))
+
+
 def _describe(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b`` (a 128-bit hash of the set) and ``sig``."""
 
@@ -105,13 +111,11 @@ def _describe(docs: DataFrame) -> DataFrame:
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 sig = np.zeros((len(n), 2 * SYMBOLS + MORE), np.uint8)
-                sums = np.zeros((2, len(n)), np.uint64)
+                sums = [_set_hash(values, first, k) for k in range(2)]
                 if len(full):
                     starts = np.append(first[:-1][full], first[-1])
                     sig[full, : 2 * SYMBOLS] = signatures(values, starts).view(np.uint8)
                     sig[full, 2 * SYMBOLS :] = more_symbols(values, starts)
-                    for k in range(2):
-                        sums[k, full] = split_mix(np.add.reduceat(split_mix(values ^ _SHIFTS[k]), starts[:-1]))
                 binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SYMBOLS + MORE), len(n), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), binary], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
@@ -137,7 +141,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """``id, items``: the full sets of the classes in ``ids``, from their texts again."""
+    """``id, set_a, items``: the full sets of the classes in ``ids``, from their texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +149,10 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
             for a, b in slices(texts, 4 << 20):
                 values, first = _sets(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(_set_hash(values, first, 0).view(np.int64)), lists], ["id", "set_a", "items"])
 
     wanted = docs.join(bounded_broadcast(ids.withColumnRenamed("id", "doc_id"), n_ids), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, items array<long>")
+    return wanted.mapInArrow(run, "id long, set_a long, items array<long>")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, what: str) -> DataFrame:
@@ -186,45 +190,89 @@ def _central_stars(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's classes from different components, within the signature bounds and of similar size."""
+def _near_pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a (bucket, block, block) group: of different components and similar size, within the signature
+    bounds, and not in an earlier bucket too."""
+    key, i, j = (int(group.column(c)[0].as_py()) for c in ("key", "i", "j"))
+    ordinal = (key & 0xFFFFFFFFFFFFFFFF) >> (16 * (WIDTH - ERRORS))
+    ids, comp, size, block = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
+    sig, more = _signature_arrays(group.column("sig"))
+    step = max(1, (1 << 20) // max(1, len(ids)))
+    for s in range(0, len(ids), step):
+        x = slice(s, s + step)
+        ok = (ids[x, None] < ids[None, :]) & (comp[x, None] != comp[None, :])
+        ok &= np.minimum(size[x, None], size[None, :]) * SIMILARITY[1] >= np.maximum(size[x, None], size[None, :]) * SIMILARITY[0]
+        if i != j:
+            ok &= block[x, None] != block[None, :]
+        p, q = np.nonzero(ok)
+        for t in range(0, len(p), 1 << 18):
+            a, b = p[t : t + (1 << 18)] + s, q[t : t + (1 << 18)]
+            differ = (sig[a] != sig[b]).sum(1)
+            near = differ <= DISTANCE
+            a, b, differ = a[near], b[near], differ[near]
+            near = differ + (more[a] != more[b]).sum(1) <= LONG_DISTANCE
+            a, b = a[near], b[near]
+            if len(a):
+                mine = first_shared_key(sig[a], sig[b]) == ordinal
+                yield a[mine], b[mine]
+
+
+def _linked_across(docs: DataFrame, buckets: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
+    """Links (a, b) between components: pairs of a mixed bucket within the signature bounds, confirmed on full sets.
+
+    Groups are two blocks of a bucket at most. Only classes that have such a pair get their full sets, a row for each
+    group; pairs are confirmed inside the group, so their number is never a number of rows.
+    """
     own = _mixed(buckets, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = own.join(classes.select("id", "n_shingles", "sig"), "id")
+    rows = own.join(sets.select("id", "set_a", "n_shingles", "sig"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # a bucket's blocks i <= j meet in the group (i, j); a small bucket is the group (0, 0)
     rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "sig")
-
-    def compare(group: pa.Table) -> pa.Table:
-        names = ["a", "b"]
-        key = int(group.column("key")[0].as_py())
-        ordinal = np.uint64(key & 0xFFFFFFFFFFFFFFFF) >> np.uint64(16 * (WIDTH - ERRORS))
-        i, j = int(group.column("i")[0].as_py()), int(group.column("j")[0].as_py())
-        ids, comp, size, block_ = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
-        sig, more = _signature_arrays(group.column("sig"))
-        found_a, found_b = [], []
-        step = max(1, (1 << 20) // max(1, len(ids)))
-        for s in range(0, len(ids), step):
-            x = slice(s, s + step)
-            ok = (ids[x, None] < ids[None, :]) & (comp[x, None] != comp[None, :])
-            ok &= np.minimum(size[x, None], size[None, :]) * SIMILARITY[1] >= np.maximum(size[x, None], size[None, :]) * SIMILARITY[0]
-            if i != j:
-                ok &= block_[x, None] != block_[None, :]
-            p, q = np.nonzero(ok)
-            for t in range(0, len(p), 1 << 18):
-                a, b = p[t : t + (1 << 18)] + s, q[t : t + (1 << 18)]
-                differ = (sig[a] != sig[b]).sum(1)
-                near = differ <= DISTANCE
-                a, b, differ = a[near], b[near], differ[near]
-                near = differ + (more[a] != more[b]).sum(1) <= LONG_DISTANCE
-                a, b = a[near], b[near]
-                mine = first_shared_key(sig[a], sig[b]) == int(ordinal) if len(a) else np.zeros(0, bool)
-                found_a.append(ids[a[mine]])
-                found_b.append(ids[b[mine]])
-        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *found_a])), pa.array(np.concatenate([np.zeros(0, np.int64), *found_b]))], names)
-
-    dealt = rows.repartition(partitions(buckets.sparkSession), "key", "i", "j")  # its bytes are few, its work is not
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set_a", "component", "n_shingles", "sig")
+    schema = "key long, i int, j int, own int, id long, set_a long, component long, n_shingles long, sig binary"
+
+    def involved(group: pa.Table) -> pa.Table:
+        found = [np.unique(np.concatenate(pair)) for pair in _near_pairs(group)]
+        return group.take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *found]))))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+        lists = group.column("items").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = lists.offsets.to_numpy().astype(np.int64)
+        values, coded = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)
+        at, sizes = at - at[0], np.diff(at)
+        up = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
+        marks = np.zeros(len(values), bool)
+        for a, b in _near_pairs(group):
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else []:
+                x, others = int(a[part[0]]), b[part]
+                marks[coded[at[x] : at[x + 1]]] = True
+                n = sizes[others]
+                ends = np.cumsum(n)
+                inside = np.concatenate([[0], np.cumsum(marks[coded[np.repeat(at[others] - (ends - n), n) + np.arange(ends[-1])]])])
+                common = inside[ends] - inside[ends - n]
+                marks[coded[at[x] : at[x + 1]]] = False
+                for y in others[common * SIMILARITY[1] >= (sizes[x] + n - common) * SIMILARITY[0]].tolist():
+                    if (r := root(int(comp[x]))) != (q := root(int(comp[y]))):  # one link joins two components
+                        up[r] = q
+                        out.append((int(ids[x]), int(ids[y])))
+        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    n = partitions(buckets.sparkSession)  # the groups' bytes are few, their work is not
+    some = materialise(rows.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(involved, schema), "across")
+    ids = materialise(some.select("id").distinct(), "across-ids")
+    full = some.join(_shingle_sets(docs, ids, ids.count()), ["id", "set_a"])
+    return materialise(full.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long"), "across-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -246,9 +294,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = buckets.filter("a < id").select("a", F.col("id").alias("b"))
     links = _confirmed(texts, _of_similar_size(pairs, sets), "star")
     components = connected_components(links)
-    for find, what in ((_central_stars, "centre"), (lambda b, c: _across(b, sets, c), "across")):
-        more = _confirmed(texts, _of_similar_size(find(buckets, components), sets), what)
-        components = components if more.isEmpty() else connected_components(more, components)
+    more = _confirmed(texts, _of_similar_size(_central_stars(buckets, components), sets), "centre")
+    components = components if more.isEmpty() else connected_components(more, components)
+    more = _linked_across(texts, buckets, sets, components)
+    components = components if more.isEmpty() else connected_components(more, components)
     of_set = sets.join(components, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = described.join(of_set, ["set_a", "set_b"], "left")
     # rows of one doc_id with different sets are one document
