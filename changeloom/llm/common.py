@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/") if "://" in path else f"file://{path.rstrip('/')}"
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Intermediate files go with the driver's process, where their store is one that it can reach."""
+    for path in _written:
+        try:
+            store, root = pafs.FileSystem.from_uri(path)
+            if store.get_file_info(root).type == pafs.FileType.Directory:
+                store.delete_dir(root)
+        except (pa.ArrowException, OSError):
+            continue
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
