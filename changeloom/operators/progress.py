@@ -26,9 +26,8 @@ def watermark(acks: DataFrame) -> DataFrame:
 
     Two aggregates, no sort: the first seq that is not done, then the greatest publishable lsn below it.
     """
-    first_open = acks.agg(F.min(F.when(~F.col("done"), F.col("seq"))).alias("open"), F.max("seq").alias("top"))
-    upto = first_open.select(F.coalesce("open", F.col("top") + 1).alias("upto"))
-    return acks.crossJoin(F.broadcast(upto)).filter("seq < upto AND publish").agg(F.max("commit_lsn").alias("watermark"))
+    first_open = acks.agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("seq"))), F.max("seq") + 1))
+    return acks.filter((F.col("seq") < first_open.scalar()) & F.col("publish")).agg(F.max("commit_lsn").alias("watermark"))
 
 
 def resume_floor(first_lsns: DataFrame, ack: int, filter_durable: int) -> DataFrame:

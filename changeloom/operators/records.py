@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 # Resource managers whose records are special, and the first object id that is not the catalog's.
 SPECIAL_MANAGERS = ("Xlog", "Xact", "Clog", "MultiXact", "Standby", "RelMap", "CommitTs", "ReplOrigin", "Dbase", "Tblspc", "Smgr")
 FIRST_NORMAL_OID = 16384
@@ -23,7 +25,7 @@ def record_class(manager: str = "rmgr", blocks: str = "blocks") -> Column:
 def with_tracked(records: DataFrame, moved: DataFrame) -> DataFrame:
     """F3. ``tracked``: a block, or the relation that the record's own data names (``located``), is of a node that holds a catalog since ``valid_from`` (node, valid_from, db); db 0 holds for all."""
     first = moved.groupBy("node", "db").agg(F.min("valid_from").alias("valid_from"))
-    hits = records.select("lsn", F.col("db").alias("_db"), F.explode(F.concat("blocks", F.array(F.coalesce("located", F.lit(0).cast("bigint"))))).alias("node")).join(F.broadcast(first), "node").filter("valid_from <= lsn AND (db = 0 OR db = _db)").select("lsn").distinct()
+    hits = records.select("lsn", F.col("db").alias("_db"), F.explode(F.concat("blocks", F.array(F.coalesce("located", F.lit(0).cast("bigint"))))).alias("node")).join(small(first), "node").filter("valid_from <= lsn AND (db = 0 OR db = _db)").select("lsn").distinct()
     return records.join(hits.withColumn("tracked", F.lit(True)), "lsn", "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
 
 
@@ -46,8 +48,8 @@ def explode_multi_insert(records: DataFrame, tuples: str = "tuples") -> DataFram
 
 def dirty_deferred(changes: DataFrame) -> DataFrame:
     """F6, A4, W2. ``deferred``: the change's tree touched the catalog (``is_catalog``) at a lower lsn."""
-    first = Window.partitionBy("top_xid")
-    return changes.withColumn("dirty_from", F.min(F.when(F.col("is_catalog"), F.col("lsn"))).over(first)).withColumn("deferred", F.coalesce(F.col("lsn") > F.col("dirty_from"), F.lit(False)))
+    first = changes.filter("is_catalog").groupBy("top_xid").agg(F.min("lsn").alias("dirty_from"))
+    return changes.join(first, "top_xid", "left").withColumn("deferred", F.coalesce(F.col("lsn") > F.col("dirty_from"), F.lit(False)))
 
 
 def statistics_only(changes: DataFrame) -> DataFrame:
