@@ -72,15 +72,18 @@ def range_splits(df: DataFrame, key: str, n: int) -> list[int]:
     if n <= 1:
         return []
     found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], min(0.01, 0.2 / n))
-    return sorted({int(x) for x in found})
+    return sorted(set(map(int, found)))
 
 
-def range_of(key: str, splits: list[int]) -> Column:
-    """Which of the ranges between ``splits`` a key is in (0 for null)."""
+def with_range(df: DataFrame, key: str, splits: list[int], name: str) -> DataFrame:
+    """``name``: which of the ranges between ``splits`` a key is in, by binary search in the JVM (0 for null)."""
     if not splits:
-        return F.lit(0)
-    points = F.array(*[F.lit(s) for s in splits])
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(points, lambda s: s <= F.col(key)))).cast("int")
+        return df.withColumn(name, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    edges = [-float("inf"), *map(float, splits), float("inf")]
+    keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(-float("inf"))))
+    return Bucketizer(splits=edges, inputCol="_key", outputCol="_range").transform(keyed).withColumn(name, F.col("_range").cast("int")).drop("_key", "_range")
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, filled, partitions, range_of, range_splits, slices, split_mix, text_bytes
+from .common import byte_offsets, filled, partitions, range_splits, slices, split_mix, text_bytes, with_range
 
 K, S, SKETCH = 16, 5, 64
 
@@ -137,18 +137,14 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     splits = range_splits(rows, "doc_id", partitions(docs.sparkSession))
-    rows = rows.withColumn("range", range_of("doc_id", splits))
+    rows = with_range(rows, "doc_id", splits, "range")
     tops = {r["range"]: r.top for r in rows.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
     used = sorted(tops)
-    if used:
-        above = dict(zip(used, used[1:] + used[:1], strict=True))
-        array = lambda values, kind: F.array(*[F.lit(values.get(k)).cast(kind) for k in range(len(splits) + 1)])
-        first = F.col("doc_id").eqNullSafe(F.element_at(array(tops, "long"), F.col("range") + 1))
-        here = F.struct(F.col("range").alias("to"), F.lit(False).alias("follows"))
-        there = F.struct(F.element_at(array(above, "int"), F.col("range") + 1).alias("to"), F.lit(True).alias("follows"))
-        rows = rows.select("doc_id", "text", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("at")).select("doc_id", "text", "at.to", "at.follows")
-    else:
-        rows = rows.select("doc_id", "text", F.lit(0).alias("to"), F.lit(False).alias("follows"))
+    above = [(k, tops[k], up) for k, up in zip(used, used[1:] + used[:1], strict=True)]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(above, "range int, top long, above int")), "range")
+    here, there = F.struct(F.col("range").alias("to"), F.lit(False).alias("follows")), F.struct(F.col("above").alias("to"), F.lit(True).alias("follows"))
+    both = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(here, there)).otherwise(F.array(here))
+    rows = rows.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.to", "at.follows")
     dealt = rows.repartitionById(len(splits) + 1, F.col("to")).sortWithinPartitions("to", "follows", F.desc_nulls_last("doc_id"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import batch_encoder
-from .common import filled, partitions, range_of, range_splits, slices
+from .common import filled, partitions, range_splits, slices, with_range
 
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, ids array<int>"
 END_ID, ROW_INDEX_STRIDE, BLOOM_FPP = 2, 2000, 0.01
@@ -33,8 +33,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
     """
     n = shards or partitions(docs.sparkSession)
     splits = range_splits(docs, "doc_id", n)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), range_of("doc_id", splits).alias("shard"))
-    dealt = dealt.repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    dealt = with_range(rows, "doc_id", splits, "shard").repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at_shard, start = batch_encoder(tokenizer_path), None, 0
@@ -63,15 +63,14 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     """The files' rows with ``start``, a document's place among all ids. ``doc_ids`` is pushed down to the ORC index."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     sizes = rows.groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).collect()  # a row for each file
-    at, first = 0, {}
+    at, places = 0, []
     for r in sorted(sizes):
-        first[r.shard], at = at, at + r.n
+        places.append((r.shard, at))
+        at += r.n
     if doc_ids is not None:
         rows = rows.filter(F.col("doc_id").isin(doc_ids))
-    if not first:
-        return rows.withColumn("start", F.lit(0).cast("long"))
-    places = F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(max(first) + 1)])
-    return rows.withColumn("start", F.element_at(places, F.col("shard") + 1) + F.col("start_in_shard"))
+    firsts = F.broadcast(spark.createDataFrame(places, "shard int, first long"))  # as many rows as files
+    return rows.join(firsts, "shard").select(*rows.columns, (F.col("first") + F.col("start_in_shard")).alias("start"))
 
 
 def with_ids_crc32(rows: DataFrame) -> DataFrame:
