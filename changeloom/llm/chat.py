@@ -11,6 +11,7 @@ the rows' ids end to end), so that a conversation of any length takes bounded me
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -103,7 +104,7 @@ def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (start, end) = id_bytes(tokenizer_path), reserved(tokenizer_path)
-        text_of = lambda ids: b"".join([table[i] for i in ids]).decode()
+        text_of = lambda ids: b"".join(map(table.__getitem__, ids)).decode()
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         now, any_yet, state = None, False, None
@@ -128,7 +129,7 @@ def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame
                 inside, behind = text_of(ids[1:stop]), text_of(ids[stop + 1 :])
                 role, _, text = inside.partition("\n")
                 state["turns"].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                lost = unescape(text_of([i for i, x in zip(ids, loss, strict=True) if x]))
+                lost = unescape(text_of(itertools.compress(ids, loss)))
                 state["loss"].update(lost.encode())
                 state["loss_chars"] += len(lost)
                 state["n"] += 1

@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.4) -> DataFrame:
     """Rows of ``docs`` whose language is known with at least ``min_score``; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
