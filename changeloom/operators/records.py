@@ -94,3 +94,27 @@ def preflight(settings: dict[str, str], relations: DataFrame) -> DataFrame:
     own = spark.createDataFrame(findings, "check string, subject string")
     keyless = relations.filter("identity = 'nothing' OR (identity = 'default' AND NOT has_pk)").select(F.lit("row_key").alias("check"), F.col("rel_name").alias("subject"))
     return own.unionByName(keyless)
+
+
+def verdict() -> Column:
+    """X9, X10. Why a mapped change can't be applied, or ``apply``; the first reason that holds.
+
+    Columns: ``ambiguous, image_only, malformed, supported, shape`` (the schema version it decodes under), ``partial,
+    generation_complete``. One refused change refuses its whole transaction.
+    """
+    return (
+        F.when(F.col("ambiguous"), "ambiguous_interval")
+        .when(F.col("image_only"), "image_only_insert")
+        .when(F.col("malformed"), "malformed")
+        .when(~F.col("supported"), "unsupported_operation")
+        .when(F.col("shape").isNull(), "missing_verdict")
+        .when(F.col("partial"), "partial_update")
+        .when(~F.col("generation_complete"), "incomplete_generation")
+        .otherwise("apply")
+    )
+
+
+def split_refused(changes: DataFrame, reason: str = "verdict") -> tuple[DataFrame, DataFrame]:
+    """X10, X11. Changes of transactions without a refused one, and all others, for quarantine or for failing the job."""
+    refused = changes.filter(F.col(reason) != "apply").select("top_xid").distinct()
+    return changes.join(refused, "top_xid", "left_anti"), changes.join(refused, "top_xid", "left_semi")

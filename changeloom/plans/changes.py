@@ -101,6 +101,39 @@ def truncate_cut(spark: SparkSession, d: str) -> DataFrame:
     return X.truncated(fx.committed(spark, d), fx.values(spark, _TRUNCATES, "rel long, lsn long")).select("rel", "k", "lsn")
 
 
+@query("x1_open_changes", fx.LOG + "SELECT lsn, top_xid FROM log WHERE top_xid % 9 = 4")
+def open_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.log(spark, d)
+    return X.open_changes(rows, fx.ends(rows).filter("top_xid % 9 != 4")).select("lsn", "top_xid")
+
+
+_REFUSED = fx.LOG + ", q AS (SELECT *, CASE WHEN lsn % 1600 = 0 THEN 'ambiguous_interval' WHEN lsn % 1776 = 0 THEN 'malformed' WHEN op = 'D' AND k = 7 THEN 'unsupported_operation' WHEN rel = 2 AND lsn < 400 THEN 'missing_verdict' WHEN lsn % 2672 = 0 THEN 'partial_update' ELSE 'apply' END AS verdict FROM log) "
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    no = F.lit(False)
+    flags = {
+        "ambiguous": F.col("lsn") % 1600 == 0,
+        "image_only": no,
+        "malformed": F.col("lsn") % 1776 == 0,
+        "supported": ~((F.col("op") == "D") & (F.col("k") == 7)),
+        "shape": F.when(~((F.col("rel") == 2) & (F.col("lsn") < 400)), 1),
+        "partial": F.col("lsn") % 2672 == 0,
+        "generation_complete": ~no,
+    }
+    return fx.log(spark, d).withColumns(flags).withColumn("verdict", R.verdict())
+
+
+@query("x10_verdicts", _REFUSED + "SELECT verdict, count(*) AS n FROM q GROUP BY verdict")
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x11_whole_transactions", _REFUSED + "SELECT top_xid, lsn FROM q WHERE top_xid NOT IN (SELECT top_xid FROM q WHERE verdict <> 'apply')")
+def whole_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return R.split_refused(_judged(spark, d))[0].select("top_xid", "lsn")
+
+
 # --- versions ---------------------------------------------------------------
 
 _LATEST = fx.VERSIONS + ", r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY _lsn DESC, tuple_idx DESC) AS rn FROM v) "

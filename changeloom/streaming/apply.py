@@ -36,7 +36,7 @@ class ChangeApplier:
         try:
             fresh = batch.filter("kind = 'row'").select(*ROW_COLUMNS)
             rows = fresh if state.get("batch") is None else fresh.unionByName(self._open(state))
-            ends = batch.filter("kind = 'end'").select(F.col("xid").alias("top_xid"), "outcome", F.col("lsn").alias("commit_lsn"), F.col("ts_us").alias("commit_ts"), "subxids", "rolled_back")
+            ends = batch.filter("kind = 'end'").select(F.col("xid").alias("top_xid"), "outcome", F.col("lsn").alias("commit_lsn"), F.col("ts_us").alias("commit_ts"), "subxids", "rolled_back").dropDuplicates(["top_xid"])
             tree = ends.select(F.explode("subxids").alias("subxid"), "top_xid")
             rows = X.with_top_xid(rows, tree)
             lost = ends.select(F.explode("rolled_back").alias("xid"))
