@@ -10,6 +10,7 @@ from .timeline import asof
 
 # Destination defaults of absent or NULL fields of columns that are not nullable.
 DEFAULTS = {"string": "", "boolean": False, "tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "float": 0.0, "double": 0.0, "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00", "binary": ""}
+# Bytes of destination types of one width.
 _FIXED_WIDTH = {"Bool": 1, "Int8": 1, "UInt8": 1, "Int16": 2, "UInt16": 2, "Int32": 4, "UInt32": 4, "Float32": 4, "Date32": 4, "Int64": 8, "UInt64": 8, "Float64": 8, "DateTime64": 8, "Time64": 8, "UUID": 16, "Int128": 16, "UInt128": 16, "Int256": 32, "UInt256": 32}
 
 
