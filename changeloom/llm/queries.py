@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, language_id, lm_score, near_dedup, packing, syncmers, token_orc, toxicity, warc
+from . import chat, common, decontaminate, language_id, lm_score, near_dedup, oracles, packing, syncmers, token_orc, toxicity, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -96,4 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others' results depend on a tokenizer or a fitted model, or are estimates; their tests are in ``tests/llm``.
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_DEDUP,
+    "op3_warc": oracles.WARC,
+    "op7_chat": oracles.CHAT,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}
