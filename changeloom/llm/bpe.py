@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .common import byte_offsets, text_bytes
 
 #: Distinct words kept from batch to batch, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
 #: Words that the library gets as one string.
 JOINED_WORDS = 50_000
 
@@ -46,12 +46,6 @@ def id_bytes(tokenizer_path: str) -> list[bytes]:
     return out
 
 
-@functools.cache
-def batch_encoder(path: str) -> BatchEncoder:
-    """One for all tasks of a worker, so that they share the words learned."""
-    return BatchEncoder(path)
-
-
 class BatchEncoder:
     """``encode(texts)`` gives all ids as one int32 array and the offsets of each text's ids."""
 

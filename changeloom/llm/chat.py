@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batch_encoder, id_bytes
+from .bpe import BatchEncoder, id_bytes
 from .common import filled, slices
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
@@ -59,7 +59,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = batch_encoder(tokenizer_path)
+        encoder = BatchEncoder(tokenizer_path)
         start, end = reserved(tokenizer_path)
         newline = encoder.encode(pa.array(["\n"]))[0]
         for batch in batches:

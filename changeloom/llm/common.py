@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python helper holds in its own buffers at a time; a longer text is a slice by itself.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,13 @@ def filled(array: pa.Array) -> pa.Array:
     return array.fill_null("") if array.null_count else array
 
 
+def texts_of(array: pa.Array) -> Iterator[str]:
+    """The texts as Python strings, a slice of them at a time; null ones are empty."""
+    array = filled(array)
+    for a, b in slices(array):
+        yield from array.slice(a, b - a).to_pylist()
+
+
 def byte_offsets(array: pa.Array) -> np.ndarray:
     """Offsets into ``text_bytes`` of a string or binary array without nulls."""
     raw = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)

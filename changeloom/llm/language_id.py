@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled
+from .common import texts_of
 
 #: Labelled texts of each language that the model is fitted on at most, and words and n-grams of each order it keeps of each.
-SAMPLE_PER_LANGUAGE, TABLE_ROWS = 1500, 20_000
+SAMPLE_PER_LANGUAGE, TABLE_ROWS = 1500, 10_000
 ORDERS, DISCOUNT, SMOOTH = (4, 3, 2, 1), 0.8, 0.5
 #: A text's evidence counts as that of so many words at most, so that a mixed text doesn't look sure.
-EVIDENCE_WORDS, CACHE_WORDS = 30, 300_000
+EVIDENCE_WORDS, CACHE_WORDS = 30, 150_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,19 +36,20 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """``tables[n]``: log frequencies in each language of known words (n = 0) and of n-grams."""
+    """``tables[n]``: rows of ``values``, log frequencies in each language, of known words (n = 0) and of n-grams."""
 
     languages: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
+    tables: dict[int, dict[str, int]]
+    values: np.ndarray
     fallback: int = 0
 
     def vector(self, word: str) -> np.ndarray | None:
         """What a word says; None if nothing of it is known."""
-        if (v := self.tables[0].get(word)) is not None:
-            return v
+        if (k := self.tables[0].get(word)) is not None:
+            return self.values[k]
         for fallen, n in enumerate(ORDERS):
-            if found := [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0) * DISCOUNT ** (fallen + 1)
+            if found := [k for g in grams(word, n) if (k := self.tables[n].get(g)) is not None]:
+                return self.values[found].mean(axis=0) * DISCOUNT ** (fallen + 1)
         return None
 
 
@@ -60,7 +61,7 @@ def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, tabl
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], {n: {} for n in (0, *ORDERS)})
+        return LanguageModel([], {n: {} for n in (0, *ORDERS)}, np.zeros((0, 0)))
     languages = sorted(sizes)
     share = F.lit(0.0)
     for name in languages:
@@ -89,11 +90,15 @@ def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, tabl
     for r in kept:
         raw[r.n].setdefault(r.gram, np.zeros(len(languages)))[at[r.lang]] += r["count"]
         total[r.n, r.lang] += r["count"]
-    tables = {}
+    tables: dict[int, dict[str, int]] = {}
+    values, at_row = np.zeros((sum(map(len, raw.values())), len(languages))), 0
     for n, own in raw.items():
         size = np.array([total[n, name] + SMOOTH * (len(own) + 1) for name in languages])
-        tables[n] = {g: np.log((c + SMOOTH) / size).astype(np.float64) for g, c in own.items()}
-    return LanguageModel(languages, tables, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
+        tables[n] = {g: at_row + k for k, g in enumerate(own)}
+        if own:
+            values[at_row : at_row + len(own)] = np.log((np.stack(list(own.values())) + SMOOTH) / size)
+        at_row += len(own)
+    return LanguageModel(languages, tables, values, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
 
 
 def score_text(model: LanguageModel, text: str) -> tuple[str, float]:
@@ -168,7 +173,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in filled(batch.column("text")).to_pylist()]
+            found = [scorer.score(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -182,7 +187,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in filled(batch.column(at_text)).to_pylist()]
+            found = [scorer.score(t) for t in texts_of(batch.column(at_text))]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, filled, materialise
+from .common import bounded_broadcast, materialise, texts_of
 
 #: Labelled texts that are learned from at most; candidate entries and lexicon entries at most.
 SAMPLE, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for batch in batches:
-            scores = np.array([matcher.score(t) for t in filled(batch.column("text")).to_pylist()], np.float64)
+            scores = np.array([matcher.score(t) for t in texts_of(batch.column("text"))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -237,6 +237,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([matcher.score(t) < limit for t in filled(batch.column(at_text)).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([matcher.score(t) < limit for t in texts_of(batch.column(at_text))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

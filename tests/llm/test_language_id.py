@@ -39,8 +39,8 @@ def test_cases(spark):
 def test_backoff_goes_down_by_order():
     import numpy as np
 
-    v = lambda x: np.array([x, -x])
-    model = L.LanguageModel(["a", "b"], {0: {"word": v(1.0)}, 4: {" wor": v(2.0)}, 3: {"ord": v(3.0)}, 2: {}, 1: {"z": v(4.0)}})
+    values = np.array([[x, -x] for x in (1.0, 2.0, 3.0, 4.0)])
+    model = L.LanguageModel(["a", "b"], {0: {"word": 0}, 4: {" wor": 1}, 3: {"ord": 2}, 2: {}, 1: {"z": 3}}, values)
     assert model.vector("word")[0] == 1.0
     assert model.vector("worx")[0] == pytest.approx(2.0 * 0.8)
     assert model.vector("xord")[0] == pytest.approx(3.0 * 0.8**2)
