@@ -28,7 +28,8 @@ def test_folding_boundaries_and_exceptions():
 def test_choice_leaves_out_companions():
     toxic = [["bad", "worse", f"x{k % 2}"] for k in range(4)] + [["bad", "copy"]] * 6 + [["worse"]] * 5
     scores = dict.fromkeys(["bad", "worse", "copy", "x0", "x1"], 3.0)
-    assert T.choose_entries(scores, toxic, 4.0) == ["bad", "worse"]
+    # six texts with "bad" are left a weight of DECAY each
+    assert T.choose_entries(scores, toxic, 6 * T.DECAY + 0.1) == ["bad", "worse"]
 
 
 def test_cases(spark):
