@@ -30,6 +30,43 @@ CAPACITY, END_ID = 2048, 1
 POOL_TOKENS, LINEAR, QUADRATIC = 4 << 20, 1.0, 1 / 1024
 
 
+class _Rooms:
+    """Open sequences by room: a heap by cost for each, and the least of each range of rooms in a tree over them."""
+
+    def __init__(self, capacity: int):
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.base = 1 << capacity.bit_length()
+        self.least: list[tuple[float, int, int]] = [_NONE] * (2 * self.base)
+
+    def _settle(self, room: int) -> None:
+        own, k = self.heaps[room], self.base + room
+        self.least[k] = (*own[0], room) if own else _NONE
+        while k := k >> 1:
+            self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
+
+    def push(self, room: int, cost: float, s: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, s))
+            self._settle(room)
+
+    def pop(self, n: int) -> tuple[float, int] | None:
+        """The sequence of lowest cost among all that have room for ``n``; None if none has."""
+        k = self.base + n
+        best = self.least[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, self.least[k + 1])
+            k >>= 1
+        if best is _NONE:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._settle(best[2])
+        return best[:2]
+
+
+_NONE = (float("inf"), -1, -1)
+
+
 def pack_pool(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) of documents of these lengths, and the number of sequences."""
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -42,7 +79,9 @@ def pack_pool(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadra
             tails.append((n % capacity, doc, n - n % capacity))
     total = sum(n for n, _, _ in tails)
     rooms = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
-    heap = [(0.0, s) for s in range(len(rooms))]
+    open_ = _Rooms(capacity)
+    for s, room in enumerate(rooms):
+        open_.push(room, 0.0, s)
     left, used = list(rooms), [0] * len(rooms)
     tails.sort(key=lambda t: (-t[0], t[1]))
 
@@ -51,30 +90,20 @@ def pack_pool(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadra
         used[s] += n
         left[s] -= n
 
-    cost, rest = [0.0] * len(rooms), []
+    rest = []
     for n, doc, start in tails:
-        aside, placed = [], False
-        while heap and len(aside) < 64:  # sequences of low cost that lack the room are few, as the pieces get shorter
-            c, s = heapq.heappop(heap)
-            if left[s] >= n:
-                put(s, doc, start, n)
-                cost[s] = c + linear * n + quadratic * n * n
-                if left[s]:
-                    heapq.heappush(heap, (cost[s], s))
-                placed = True
-                break
-            aside.append((c, s))
-        for x in aside:
-            heapq.heappush(heap, x)
-        if not placed:
+        if (found := open_.pop(n)) is None:
             rest.append((n, doc, start))
-    for n, doc, start in rest:  # cut
+            continue
+        c, s = found
+        put(s, doc, start, n)
+        open_.push(left[s], c + linear * n + quadratic * n * n, s)
+    for n, doc, start in rest:  # cut: room only falls, so they still fit nowhere whole
         while n:
-            c, s = heapq.heappop(heap)
+            c, s = open_.pop(1)
             m = min(n, left[s])
             put(s, doc, start, m)
-            if left[s]:
-                heapq.heappush(heap, (c + linear * m + quadratic * m * m, s))
+            open_.push(left[s], c + linear * m + quadratic * m * m, s)
             start, n = start + m, n - m
     return pieces, n_seq + len(rooms)
 

@@ -66,3 +66,20 @@ def test_pack_documents(spark, whole):
     assert got[(1, len(whole(rows[0][1])) + 1)] == whole(rows[0][1]) + [1]
     assert got[(2, 1)] == [1, 1] and got[(7, 4)] == whole("a b c") + [1]
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_whole_while_any_sequence_has_room():
+    """Every tail goes to the sequence of lowest cost among all that have room, also where many cheaper ones lack it."""
+    rng = random.Random(4)
+    pools = [[1500] * 500 + [900] * 1000 + [300] * 1000, [rng.choice([40, 300, 700, 900, 1500, 2047]) for _ in range(900)]]
+    for lengths in pools:
+        total = sum(lengths)
+        left = [2048] * (total // 2048) + [1 << b for b in range(11, -1, -1) if (total % 2048) >> b & 1]
+        cost, want = [0.0] * len(left), {}
+        for doc in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            n = lengths[doc]
+            if fits := [s for s in range(len(left)) if left[s] >= n]:
+                s = want[doc] = min(fits, key=lambda k: (cost[k], k))
+                cost[s], left[s] = cost[s] + n + n * n / 1024, left[s] - n
+        pieces, _ = pack_pool(np.array(lengths, np.int64), 2048)
+        assert {doc: s for doc, _, n, s, _ in pieces if n == lengths[doc]} == want
