@@ -49,7 +49,13 @@ def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray
         for j in range(k):
             hashes = hashes * np.uint64(0x100000001B3) + wide[found + j] + np.uint64(1)
         hashes = split_mix(hashes)
-    short = np.flatnonzero((sizes > 0) & (sizes < k))
+    return _with_whole(texts, found, hashes, (sizes > 0) & (sizes < k))
+
+
+def _with_whole(texts: pa.Array, found: np.ndarray, hashes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with one more at the start of ``which`` texts: the hash of the whole text."""
+    data, at = text_bytes(texts), byte_offsets(texts)
+    short = np.flatnonzero(which)
     if len(short):
         raw = data.tobytes()
         own = np.array([int.from_bytes(hashlib.blake2b(raw[at[i] : at[i + 1]], digest_size=8).digest(), "little") for i in short], np.uint64)
@@ -59,9 +65,15 @@ def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray
     return found, hashes, np.searchsorted(found, at)
 
 
+def text_anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``closed_syncmers``, and an anchor by itself for any other text that is not empty but has none."""
+    found, hashes, first = closed_syncmers(texts)
+    return _with_whole(texts, found, hashes, (np.diff(byte_offsets(texts)) > 0) & (np.diff(first) == 0))
+
+
 def sketches(texts: pa.Array, size: int = SKETCH) -> list[np.ndarray]:
     """The ``size`` least distinct hashes, 32 bits of each, ascending; fewer for texts with fewer syncmers."""
-    _, hashes, first = closed_syncmers(texts)
+    _, hashes, first = text_anchors(texts)
     values = (hashes >> np.uint64(32)).astype(np.uint32)
     n = np.diff(first)
     # the least are below a bound that so many pass, nearly always; a text where too few do is taken whole
@@ -110,14 +122,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id, position, hash`` of every closed syncmer, positions in bytes of its text, for positional matching."""
+    """``doc_id, position, hash`` of every closed syncmer (or of the whole text, if it has none), positions in bytes of its text, for positional matching."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column("text"))
             for a, b in slices(texts):
                 part = texts.slice(a, b - a)
-                found, hashes, first = closed_syncmers(part)
+                found, hashes, first = text_anchors(part)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(found - np.repeat(byte_offsets(part)[:-1], n)), pa.array(hashes.view(np.int64))], ["doc_id", "position", "hash"])
 

@@ -67,3 +67,13 @@ def test_small_tables(spark):
     same = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
     prints = {r.doc_id: r.fingerprint for r in S.fingerprints(same).collect()}
     assert prints[1] == prints[2] != prints[3] == ""
+
+
+def test_texts_without_a_syncmer_differ():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(16, 26))) for _ in range(400)]
+    bare = [t for t in texts if not plain(t)]
+    assert len(bare) > 5
+    own = S.sketches(pa.array([*bare, bare[0], ""]))
+    assert [len(x) for x in own] == [1] * (len(bare) + 1) + [0]
+    assert S.likeness(own[0], own[-2]) == 1 and all(S.likeness(own[0], x) == 0 for x in own[1:-2]) and S.likeness(own[0], own[-1]) == 0
