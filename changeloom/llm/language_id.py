@@ -2,11 +2,12 @@
 
 A known word has its log frequency in each language. An unseen word falls back to its character n-grams of the
 longest order of which any is known, with a discount for each order it falls. A text's score for a language is the
-mean over its words; the model is fitted on a bounded sample of labelled texts and is bounded itself.
+mean over its words; the model is fitted on a bounded sample of labelled texts and keeps every word and n-gram of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
 
-#: Labelled texts of each language that the model is fitted on at most, and words and n-grams of each order it keeps of each.
-SAMPLE_PER_LANGUAGE, TABLE_ROWS = 1500, 10_000
+#: Labelled texts of each language that the model is fitted on, about.
+SAMPLE_PER_LANGUAGE = 1500
 ORDERS, DISCOUNT, SMOOTH = (4, 3, 2, 1), 0.8, 0.5
 #: A text's evidence counts as that of so many words at most, so that a mixed text doesn't look sure.
 EVIDENCE_WORDS, CACHE_WORDS = 30, 150_000
@@ -34,12 +35,29 @@ def grams(word: str, n: int) -> list[str]:
     return [g for k in range(len(padded) - n + 1) if (g := padded[k : k + n]).strip()]
 
 
+def code(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+@dataclass
+class Grams:
+    """Rows of words or n-grams, ``at`` and on, by their sorted 64-bit hashes."""
+
+    hashes: np.ndarray
+    at: int
+
+    def get(self, gram: str) -> int | None:
+        h = np.uint64(code(gram))
+        k = int(self.hashes.searchsorted(h))
+        return self.at + k if k < len(self.hashes) and self.hashes[k] == h else None
+
+
 @dataclass
 class LanguageModel:
     """``tables[n]``: rows of ``values``, log frequencies in each language, of known words (n = 0) and of n-grams."""
 
     languages: list[str]
-    tables: dict[int, dict[str, int]]
+    tables: dict[int, dict[str, int] | Grams]
     values: np.ndarray
     fallback: int = 0
 
@@ -53,10 +71,10 @@ class LanguageModel:
         return None
 
 
-def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, table_rows: int = TABLE_ROWS) -> LanguageModel:
+def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from rows of ``docs`` (``doc_id, text, lang``); rows without text or lang teach nothing.
 
-    The sample of a language is chosen by a hash of the doc_id. Ties of counts are broken by the word.
+    The sample of a language is chosen by a hash of the doc_id.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,24 +98,21 @@ def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, tabl
                         for g in grams(w, order):
                             found[order, g] += n
                 keys = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "n", "gram", "count"])
-
-    counts = sample.mapInArrow(count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    kept = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= table_rows).collect()
-    total, raw = Counter(), {n: {} for n in (0, *ORDERS)}
-    at = {name: k for k, name in enumerate(languages)}
-    for r in kept:
-        raw[r.n].setdefault(r.gram, np.zeros(len(languages)))[at[r.lang]] += r["count"]
-        total[r.n, r.lang] += r["count"]
-    tables: dict[int, dict[str, int]] = {}
-    values, at_row = np.zeros((sum(map(len, raw.values())), len(languages))), 0
-    for n, own in raw.items():
-        size = np.array([total[n, name] + SMOOTH * (len(own) + 1) for name in languages])
-        tables[n] = {g: at_row + k for k, g in enumerate(own)}
-        if own:
-            values[at_row : at_row + len(own)] = np.log((np.stack(list(own.values())) + SMOOTH) / size)
-        at_row += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()), pa.array(np.array([code(k[1]) for k in keys], np.uint64).view(np.int64)), pa.array(list(found.values()), pa.int64())], ["lang", "n", "gram", "count"])
+
+    counts = sample.mapInArrow(count, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    kept = counts.toArrow()  # bounded by the sample, as numbers
+    lang = np.searchsorted(languages, kept.column("lang").to_numpy())
+    order, gram, times = (kept.column(c).to_numpy() for c in ("n", "gram", "count"))
+    tables, values, at_row = {}, [np.zeros((0, len(languages)), np.float32)], 0
+    for n in (0, *ORDERS):
+        mine = order == n
+        hashes, at = np.unique(gram[mine].astype(np.int64).view(np.uint64), return_inverse=True)
+        own = np.bincount(at * len(languages) + lang[mine], times[mine], len(hashes) * len(languages)).reshape(-1, len(languages))
+        tables[n] = Grams(hashes, at_row)
+        values.append(np.log((own + SMOOTH) / (own.sum(0) + SMOOTH * (len(hashes) + 1))).astype(np.float32))
+        at_row += len(hashes)
+    values = np.concatenate(values)
     return LanguageModel(languages, tables, values, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
 
 

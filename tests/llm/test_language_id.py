@@ -46,3 +46,10 @@ def test_backoff_goes_down_by_order():
     assert model.vector("xord")[0] == pytest.approx(3.0 * 0.8**2)
     assert model.vector("zq")[0] == pytest.approx(4.0 * 0.8**4)
     assert model.vector("qq") is None
+
+
+def test_every_word_of_the_sample_is_kept(spark):
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(12_000)]
+    rows = [(k, " ".join(words[k * 100 : k * 100 + 100]), "en") for k in range(120)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(model.tables[0].get(w) is not None for w in words) and model.tables[0].get("unseen") is None
