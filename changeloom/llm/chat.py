@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BatchEncoder, id_bytes
-from .common import filled, slices
+from .common import filled, map_batches, slices
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 TURNS = "conv_id long, turn_no long, token_start long, ids array<int>, loss array<boolean>"
@@ -93,10 +93,10 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(turn_no, pa.int64()), pa.array(starts, pa.int64()), batch.column("ids"), batch.column("loss")], ["conv_id", "turn_no", "token_start", "ids", "loss"])
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    coded = rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>")
+    coded = map_batches(rows, encode, "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>")
     # the ids of equal turns are equal, so only what decides the order goes along
     ordered = coded.select("conv_id", "turn", "role", "text", "ids", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "ids", "loss").mapInArrow(number, TURNS)
+    return map_batches(ordered.select("conv_id", "ids", "loss"), number, TURNS)
 
 
 def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -140,4 +140,4 @@ def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame
             yield batch_of([row()])
 
     ordered = formatted.select("conv_id", "turn_no", "ids", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return ordered.select("conv_id", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(ordered.select("conv_id", "ids", "loss"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

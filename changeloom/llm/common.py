@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python helper holds in its own buffers at a time; a longer text is a slice by itself.
 SLICE_BYTES = 2 << 20
+#: Rows and bytes of an Arrow batch, where the session sets none.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``, with its file system.
+
+    Where it is unset, a session of one machine (``local[...]``) gets a folder of its own, and any other an error: what
+    executors write to their own disks, others can't read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='changeloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/") if "://" in path else f"file://{path.rstrip('/')}"
+    if "://" not in path:
+        path = path.removeprefix("file:")
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        path = f"{'file://' if default.startswith('file:') else default.rstrip('/')}{path}"
+    return path.rstrip("/")
 
 
 _written: list[str] = []
@@ -51,11 +64,51 @@ def new_path(spark: SparkSession, what: str) -> str:
     return _written[-1]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+class Scratch:
+    """Intermediate tables by name, in the shared folder. Writing cuts the lineage, so a lost executor loses nothing."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        """Write and read back; a table of the same name that was there before is deleted after."""
+        path, before = new_path(self.spark, what), self.paths.get(what)
+        df.write.parquet(path)
+        self.paths[what] = path
+        if before:
+            delete(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for what in names or list(self.paths):
+            if path := self.paths.pop(what, None):
+                delete(self.spark, path)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor loses nothing."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back, for as long as the driver runs."""
+    return Scratch(df.sparkSession).write(df, what)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with Arrow batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes, unless the session has bounds of its own: texts make wide rows."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(bound))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 #: Rounds grow with the logarithm of the longest path; far more than any graph needs.
 MAX_ROUNDS = 60
@@ -31,15 +31,16 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
     """``id, component`` (the smallest id reachable) for every node of ``links`` (a, b).
 
     Repeated links, loops and either order are fine; null ends are dropped. ``start`` (id, component), an earlier
-    result, is taken in as links. An empty table gives no row. Each round is written to the shared folder.
+    result, is taken in as links. An empty table gives no row. Each round is written to the shared folder, and the one before it deleted.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if start is not None:
         edges = edges.unionByName(start.select(F.col("component").alias("a"), F.col("id").alias("b")))
-    edges = materialise(edges.filter("a < b").distinct(), "edges")
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.write(edges.filter("a < b").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_neighbours_to_least(_neighbours_to_least(edges, True), False), "edges")
+        edges = scratch.write(_neighbours_to_least(_neighbours_to_least(edges, True), False), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -47,4 +48,6 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
     else:
         raise RuntimeError("components did not settle")
     ids = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return materialise(ids.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()), "components")
+    out = scratch.write(ids.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()), "components")
+    scratch.drop("edges")
+    return out

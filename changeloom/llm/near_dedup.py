@@ -11,11 +11,15 @@ Documents with equal sets are one class first. Then, over the classes:
 1. every class is compared with the first class of each of its buckets; confirmed links give components;
 2. in buckets that hold several components, every class is compared with the one that meets most others, the likely
    centre of a group of near copies;
-3. buckets that still hold several components are compared in blocks of bounded size, across components only. Pairs
-   within the bound on the indexed symbols, and within ``LONG_DISTANCE`` on all ``SYMBOLS + MORE``, are confirmed there on
-   full sets. At similarity 0.75 a pair expects 32 of 128 to differ, and passes 57 with a chance below 0.000001.
-
-No link between different components is left out, and large groups of near copies cost a few comparisons a member.
+3. buckets that still hold several components are compared inside, across components only. Pairs within the bound on
+   the indexed symbols, and within ``LONG_DISTANCE`` on all ``SYMBOLS + MORE``, are confirmed there on full sets. At
+   similarity 0.75 a pair expects 32 of 128 to differ, and passes 57 with a chance below 0.000001.
+
+A bucket of over ``BLOCK`` classes, such as texts that share a passage but little else, is refined first: two sets of
+similarity 0.75 share one of the rarest quarter of either's shingles, so its classes meet by those shingles instead.
+Groups that are still larger are compared in blocks, each of one large component or of small ones, and no component
+with itself. No link between different components is left out, and large groups of near copies cost a few comparisons
+a member.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, filled, materialise, partitions, slices, split_mix
+from .common import Scratch, bound_batches, bounded_broadcast, filled, map_batches, materialise, partitions, slices, split_mix
 from .components import connected_components
 from .wordhash import SPACED, distinct_by_row, shingles, words_of
 
@@ -119,7 +123,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                 binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SYMBOLS + MORE), len(n), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), binary], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return map_batches(docs, run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def _signature_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column("id").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return map_batches(classes.select("id", "sig"), run, "key long, id long")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
@@ -152,19 +156,21 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(_set_hash(values, first, 0).view(np.int64)), lists], ["id", "set_a", "items"])
 
     wanted = docs.join(bounded_broadcast(ids.withColumnRenamed("id", "doc_id"), n_ids), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, set_a long, items array<long>")
+    return map_batches(wanted, run, "id long, set_a long, items array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, what: str) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    pairs = materialise(pairs, f"{what}-pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{what}-ids")
-    sets = _shingle_sets(docs, ids, ids.count())
+    pairs = scratch.write(pairs, "pairs")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    sets = scratch.write(_shingle_sets(docs, ids, ids.count()).select("id", "items"), "pair-sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - common
-    return materialise(both.filter(common * SIMILARITY[1] >= union * SIMILARITY[0]).select("a", "b"), f"{what}-links")
+    links = scratch.write(both.filter(common * SIMILARITY[1] >= union * SIMILARITY[0]).select("a", "b"), "links")
+    scratch.drop("pairs", "pair-ids", "pair-sets")
+    return links
 
 
 def _of_similar_size(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,9 +187,8 @@ def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return own.join(mixed.select("key", "n"), "key")
 
 
-def _central_stars(buckets: DataFrame, components: DataFrame) -> DataFrame:
+def _central_stars(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of each class of a mixed bucket and the class there that meets most others in all its buckets."""
-    rows = materialise(_mixed(buckets, components), "mixed")
     degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
     centre = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"), "component")).alias("c"))
     both = rows.join(centre, "key").filter("component != c.component").select(F.col("id").alias("x"), (-F.col("c.id")).alias("y"))
@@ -191,10 +196,9 @@ def _central_stars(buckets: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _near_pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a (bucket, block, block) group: of different components and similar size, within the signature
-    bounds, and not in an earlier bucket too."""
-    key, i, j = (int(group.column(c)[0].as_py()) for c in ("key", "i", "j"))
-    ordinal = (key & 0xFFFFFFFFFFFFFFFF) >> (16 * (WIDTH - ERRORS))
+    """Row pairs of a (key, block, block) group: of different components and similar size, within the signature
+    bounds, and (for the keys of whole buckets) not in an earlier bucket too."""
+    ordinal, i, j = (int(group.column(c)[0].as_py()) for c in ("ordinal", "i", "j"))
     ids, comp, size, block = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
     sig, more = _signature_arrays(group.column("sig"))
     step = max(1, (1 << 20) // max(1, len(ids)))
@@ -213,23 +217,67 @@ def _near_pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             near = differ + (more[a] != more[b]).sum(1) <= LONG_DISTANCE
             a, b = a[near], b[near]
             if len(a):
-                mine = first_shared_key(sig[a], sig[b]) == ordinal
+                mine = first_shared_key(sig[a], sig[b]) == ordinal if ordinal >= 0 else slice(None)
                 yield a[mine], b[mine]
 
 
-def _linked_across(docs: DataFrame, buckets: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
+def _by_rare_shingles(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes of large mixed buckets by each of the rarest quarter of their shingles, as mixed buckets (key, id, component, n).
+
+    Two sets of which one has n shingles and that share 75 % of the union share 0.75 n of them at least, so in any one
+    order of all shingles each has one that both hold among its first n / 4 + 1. Rare ones come first, so what many texts
+    have in common brings nobody together.
+    """
+    ids = scratch.write(rows.select("id", "component").distinct(), "large-ids")
+    found = scratch.write(_shingle_sets(docs, ids.select("id").distinct(), ids.count()).select("id", "set_a", F.explode("items").alias("key")), "large-shingles")
+    number = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "key")))
+    own = found.join(number, "key").groupBy("id", "set_a").agg(ordered.alias("o"))
+    quarter = F.floor(F.size("o") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
+    rare = own.select("id", F.explode(F.slice("o", 1, quarter)).alias("s")).filter("s.n > 1")
+    buckets = scratch.write(rare.select(F.col("s.key").alias("key"), "id"), "rare")
+    return scratch.write(_mixed(buckets, ids), "rare-mixed")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, component, n, ordinal) with the pairs of blocks (i, j) that each belongs to, and its ``own`` block.
+
+    A group of up to ``BLOCK`` classes is one block. In a larger one, a component of ``BLOCK`` classes or more has blocks
+    of its own, which meet the blocks of others only; the smaller components share blocks.
+    """
+    small = rows.filter(F.col("n") <= BLOCK).select("key", "ordinal", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "id", "component")
+    large = rows.filter(F.col("n") > BLOCK)
+    sizes = large.groupBy("key", "ordinal", "component").agg(F.count(F.lit(1)).alias("m"))
+    whose = F.when(F.col("m") >= BLOCK, F.col("component"))  # NULL: the smaller ones together
+    sizes = sizes.groupBy("key", "ordinal", whose.alias("whose")).agg(F.sum("m").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    plan = sizes.groupBy("key", "ordinal").agg(F.array_sort(F.collect_list(F.struct("whose", "blocks"))).alias("plan"))
+    # blocks are numbered through the plan; each of its entries starts where those before it end
+    starts = F.transform("plan", lambda x, k: F.struct(x.whose.alias("whose"), x.blocks.alias("blocks"), F.aggregate(F.slice("plan", 1, k), F.lit(0), lambda a, y: a + y.blocks).alias("start")))
+    plan = plan.withColumn("plan", starts)
+    both = large.join(plan, ["key", "ordinal"])
+    first = lambda test: F.get(F.filter("plan", test), F.lit(0))
+    mine = F.coalesce(first(lambda x: x.whose == F.col("component")), first(lambda x: x.whose.isNull()))
+    both = both.withColumn("mine", mine).withColumn("own", F.col("mine.start") + F.pmod(F.xxhash64("id"), F.col("mine.blocks")).cast("int"))
+    every = F.flatten(F.transform(F.filter("plan", lambda x: x.whose.isNull() | ~x.whose.eqNullSafe(F.col("mine.whose"))), lambda x: F.sequence(x.start, x.start + x.blocks - 1)))
+    both = both.withColumn("other", F.explode(every))
+    both = both.select("key", "ordinal", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    return small.unionByName(both)
+
+
+def _linked_across(docs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components: pairs of a mixed bucket within the signature bounds, confirmed on full sets.
 
-    Groups are two blocks of a bucket at most. Only classes that have such a pair get their full sets, a row for each
-    group; pairs are confirmed inside the group, so their number is never a number of rows.
+    Groups are two blocks at most. Only classes that have such a pair get their full sets, a row for each group; pairs
+    are confirmed inside the group, so their number is never a number of rows.
     """
-    own = _mixed(buckets, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = own.join(sets.select("id", "set_a", "n_shingles", "sig"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # a bucket's blocks i <= j meet in the group (i, j); a small bucket is the group (0, 0)
-    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set_a", "component", "n_shingles", "sig")
-    schema = "key long, i int, j int, own int, id long, set_a long, component long, n_shingles long, sig binary"
+    ordinal = F.shiftrightunsigned("key", 16 * (WIDTH - ERRORS)).cast("int")
+    groups = rows.filter(F.col("n") <= BLOCK).withColumn("ordinal", ordinal)
+    large = rows.filter(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        groups = groups.unionByName(_by_rare_shingles(docs, large, scratch).withColumn("ordinal", F.lit(-1)))
+    rows = _in_blocks(groups).join(sets.select("id", "set_a", "n_shingles", "sig"), "id")
+    rows = rows.select("key", "ordinal", "i", "j", "own", "id", "set_a", "component", "n_shingles", "sig")
+    schema = "key long, ordinal int, i int, j int, own int, id long, set_a long, component long, n_shingles long, sig binary"
 
     def involved(group: pa.Table) -> pa.Table:
         found = [np.unique(np.concatenate(pair)) for pair in _near_pairs(group)]
@@ -268,11 +316,12 @@ def _linked_across(docs: DataFrame, buckets: DataFrame, sets: DataFrame, compone
                         out.append((int(ids[x]), int(ids[y])))
         return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    n = partitions(buckets.sparkSession)  # the groups' bytes are few, their work is not
-    some = materialise(rows.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(involved, schema), "across")
-    ids = materialise(some.select("id").distinct(), "across-ids")
+    bound_batches(docs.sparkSession)
+    n, by = partitions(docs.sparkSession), ["key", "ordinal", "i", "j"]  # the groups' bytes are few, their work is not
+    some = scratch.write(rows.repartition(n, *by).groupBy(*by).applyInArrow(involved, schema), "across")
+    ids = scratch.write(some.select("id").distinct(), "across-ids")
     full = some.join(_shingle_sets(docs, ids, ids.count()), ["id", "set_a"])
-    return materialise(full.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long"), "across-links")
+    return scratch.write(full.repartition(n, *by).groupBy(*by).applyInArrow(confirm, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,21 +332,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are linked with nothing and kept. Sets are compared by 64-bit hashes of their shingles. Rows with a null doc_id are
     kept, by themselves. Rows that repeat a doc_id are reported each; they are one document, linked by any of them.
     """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = materialise(_describe(texts), "signatures")
+    described = scratch.write(_describe(texts), "signatures")
     named = described.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     sets = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    sets = materialise(sets, "sets")
+    sets = scratch.write(sets, "sets")
     keys = _keys(sets)
     stars = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialise(keys.join(stars.select("key", "a"), "key").select("key", "id", "a"), "buckets")
+    buckets = scratch.write(keys.join(stars.select("key", "a"), "key").select("key", "id", "a"), "buckets")
     pairs = buckets.filter("a < id").select("a", F.col("id").alias("b"))
-    links = _confirmed(texts, _of_similar_size(pairs, sets), "star")
-    components = connected_components(links)
-    more = _confirmed(texts, _of_similar_size(_central_stars(buckets, components), sets), "centre")
-    components = components if more.isEmpty() else connected_components(more, components)
-    more = _linked_across(texts, buckets, sets, components)
+    components = connected_components(_confirmed(texts, _of_similar_size(pairs, sets), scratch))
+    mixed = scratch.write(_mixed(buckets, components), "mixed")
+    more = _confirmed(texts, _of_similar_size(_central_stars(mixed), sets), scratch)
+    if not more.isEmpty():
+        components = connected_components(more, components)
+        mixed = scratch.write(_mixed(buckets, components), "mixed")
+    more = _linked_across(texts, mixed, sets, scratch)
     components = components if more.isEmpty() else connected_components(more, components)
+    scratch.drop(*(x for x in scratch.paths if x not in ("signatures", "sets")))
     of_set = sets.join(components, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = described.join(of_set, ["set_a", "set_b"], "left")
     # rows of one doc_id with different sets are one document
@@ -308,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest doc_id; all columns are kept.
 
-    Null, empty and blank texts and null doc_ids are kept; so are all rows that repeat a kept doc_id.
+    An empty table stays empty. Null, empty and blank texts and null doc_ids are kept; so are all rows that repeat a kept doc_id.
     """
     found = near_duplicates(docs)
     dropped = materialise(found.filter("NOT kept").select("doc_id").distinct(), "dropped")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BatchEncoder
-from .common import filled, slices
+from .common import filled, map_batches, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CAPACITY, END_ID = 2048, 1
@@ -150,4 +150,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
         if ids:
             yield flush(part, pool, ids, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA + (", ids array<int>" if with_ids else ""))

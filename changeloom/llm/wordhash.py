@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 
 from .common import byte_offsets, split_mix, text_bytes
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -22,15 +23,35 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as far as any slice has needed them."""
+#: Elements that are hashed at a time, so that the work space does not follow the longest text.
+WINDOW = 1 << 18
 
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def reach(cls, n: int) -> None:
-        if len(cls.up) < n:
-            cls.up, cls.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BASE_INVERSE))
+@functools.cache
+def _powers(n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of ``data``; runs are in order and don't overlap."""
+    up, down = _powers()
+    out = (ends - starts).astype(np.uint64)
+    for a in range(0, len(data), WINDOW):
+        b = min(a + WINDOW, len(data))
+        low, high = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
+        if low >= high:
+            continue
+        sums = data[a:b].astype(np.uint64)
+        sums += np.uint64(1)
+        sums *= up[: b - a]
+        np.cumsum(sums, out=sums)
+        s, e = np.maximum(starts[low:high] - a, 0), np.minimum(ends[low:high] - a, b - a)
+        part = (sums[e - 1] - np.where(s > 0, sums[np.maximum(s - 1, 0)], np.uint64(0))) * down[s]
+        if starts[low] < a:  # it began in an earlier window
+            part[:1] *= np.uint64(pow(BASE, int(a - starts[low]), 1 << 64))
+        out[low:high] += part
+    return split_mix(out)
 
 
 @dataclass
@@ -58,13 +79,7 @@ def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     closes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    _Powers.reach(n)
-    sums = data.astype(np.uint64)
-    sums += np.uint64(1)
-    sums *= _Powers.up[:n]
-    np.cumsum(sums, out=sums)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    hashes = split_mix((sums[ends - 1] - before) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+    hashes = run_hashes(data, starts, ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, at), at)
 
 
@@ -79,7 +94,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         use = length > k
         term = words.hashes[np.where(use, at + k, 0)] if len(words.hashes) else np.zeros(len(at), np.uint64)
-        out = out * np.uint64(_BASE) + np.where(use, term, np.uint64(0))
+        out = out * np.uint64(BASE) + np.where(use, term, np.uint64(0))
     return split_mix(out), first
 
 

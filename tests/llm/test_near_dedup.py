@@ -3,6 +3,9 @@ import re
 
 import numpy as np
 
+import pytest
+
+from changeloom.llm import near_dedup
 from changeloom.llm.components import connected_components
 from changeloom.llm.near_dedup import CHUNKS, DISTANCE, SYMBOLS, bucket_keys, drop_near_duplicates, first_shared_key, near_duplicates
 
@@ -103,3 +106,49 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     assert got == {i: root(i) for i in up}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def boilerplate():
+    """Texts that share most of their words but not three quarters of their shingles, with pairs and groups among them that do."""
+    rng = random.Random(21)
+    common = [f"c{k}" for k in range(40)]
+    docs = [[*common[: rng.randrange(34, 40)], *(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 30)))] for _ in range(150)]
+    docs += [[*docs[k][:-2], f"v{k}"] for k in range(40)]
+    family = [*common, *(f"f{k}" for k in range(20))]
+    docs += [[*family[:30], f"x{k}", *family[30:]] for k in range(60)]
+    docs += [common[: 20 + k % 15] for k in range(30)]
+    rng.shuffle(docs)
+    return [(k, " ".join(d)) for k, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("block", [1024, 40, 8])
+def test_large_buckets_of_several_components(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    docs = boilerplate()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == brute(docs)
+
+
+def test_recall_of_barely_similar_pairs(spark):
+    """Two thousand pairs at similarity 0.75 to 0.80, where the bound on the signatures is nearest; no other links."""
+    rng = random.Random(22)
+    rows, pairs = [], 0
+    while pairs < 2000:
+        n = rng.randrange(60, 200)
+        a = [f"p{rng.randrange(10**7)}" for _ in range(n)]
+        b = list(a)
+        for k in range(0, n - 5):
+            if 100 * overlap(a, b) < 80 * (2 * (n - 4) - overlap(a, b)):
+                break
+            b[(k * 5 + 2) % n] = f"q{rng.randrange(10**7)}"
+        both = overlap(a, b)
+        if 75 * (2 * (n - 4) - both) <= 100 * both:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    linked = sum(r.component_id == r.doc_id - 1 for r in found if r.doc_id % 2)
+    assert linked >= 0.999 * pairs and all(r.component_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in found)
+
+
+def overlap(a, b):
+    return len({tuple(a[i : i + 5]) for i in range(len(a) - 4)} & {tuple(b[i : i + 5]) for i in range(len(b) - 4)})
