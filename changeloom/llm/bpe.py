@@ -60,15 +60,14 @@ class BatchEncoder:
         self.words.clear()
         self.ids, self.sizes, self.n_words = [], [], 0
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that start with their only space are encoded end to end, and cut by the bytes of the ids."""
-        plain = [w[:1] == " " and len(w) > 1 and not (w[1].isspace() or w[-1].isspace()) for w in words]
-        inner = [w for w, x in zip(words, plain, strict=True) if x]
-        outer = [w for w, x in zip(words, plain, strict=True) if not x]
+    def _learn(self, words: list[str], sizes: np.ndarray, plain: np.ndarray) -> None:
+        """Words of these sizes in bytes. Those that start with their only space (``plain``) are encoded end to end, and cut by the bytes of the ids."""
+        outer = [words[k] for k in np.flatnonzero(~plain).tolist()]
+        inner, sizes = [words[k] for k in np.flatnonzero(plain).tolist()], sizes[plain]
         for a in range(0, len(inner), JOINED_WORDS):
             part = inner[a : a + JOINED_WORDS]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            ends = np.cumsum(sizes[a : a + JOINED_WORDS])
             behind = np.cumsum(self.id_sizes[ids])
             cuts = np.searchsorted(behind, ends) + 1
             if behind[-1] != ends[-1] or (behind[cuts - 1] != ends).any():
@@ -109,9 +108,12 @@ class BatchEncoder:
             self._forget()
         wanted = np.flatnonzero(used)
         asked = [f" {words[c >> 1]}" if c & 1 else words[c >> 1] for c in wanted.tolist()]
-        strings = [w for w in asked if w not in self.words]
+        new = np.fromiter((w not in self.words for w in asked), bool, len(asked))
+        strings = list(itertools.compress(asked, new))
         if strings:
-            self._learn(strings)
+            spaced = wanted[new] & 1
+            sizes, plain = self._shapes(coded.dictionary, words)
+            self._learn(strings, sizes[wanted[new] >> 1] + spaced, plain[wanted[new] >> 1] & (spaced == 1))
         slot = np.zeros(2 * len(words), np.int32)
         slot[wanted] = np.fromiter(map(self.words.__getitem__, asked), np.int32, len(asked))
         if len(self.ids) > 1:
@@ -126,6 +128,19 @@ class BatchEncoder:
             return self._merge(texts, odd, out, offsets)
         return out, offsets
 
+    @staticmethod
+    def _shapes(dictionary: pa.Array, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each word, and whether it neither is empty nor begins or ends with white space."""
+        data, at = text_bytes(dictionary), byte_offsets(dictionary)
+        sizes = np.diff(at)
+        plain = sizes > 0
+        for ends in (at[:-1], at[1:] - 1):
+            byte = data[np.clip(ends, 0, max(0, len(data) - 1))] if len(data) else np.zeros(len(sizes), np.uint8)
+            plain &= ~(((byte >= 9) & (byte <= 13)) | ((byte >= 28) & (byte <= 32)))
+            for k in np.flatnonzero(plain & (byte >= 0x80)).tolist():
+                plain[k] = not (words[k][0].isspace() or words[k][-1].isspace())
+        return sizes, plain
+
     def _whole(self, texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Texts that can't be cut at single spaces."""
         spaces = np.flatnonzero(data == 32)
