@@ -6,23 +6,25 @@ matrix for ranks, every eighth suffix position kept) and searches all windows ba
 located from the kept positions and merged into removal spans.
 
 The index is over what can match: words that no benchmark item has only separate, and so do runs of benchmark words
-shorter than the shortest window. Documents are neither shuffled nor gathered; the windows are broadcast in blocks
-of at most ``block_windows``, so a benchmark of any size takes bounded memory.
+shorter than the shortest window. Documents are neither shuffled nor gathered. The windows are broadcast; those of a
+benchmark of more than ``block_windows`` in blocks of about that many, one after the other, of which the driver and the
+tasks hold one at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, materialise, slices
-from .wordhash import ALNUM, words_of
+from .common import Scratch, filled, map_batches, slices
+from .wordhash import ALNUM, Words, words_of
 
 WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE = 10, 1_000_000, 16 << 20, 8
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -114,10 +116,10 @@ class Windows:
 
     vocabulary: np.ndarray
     by_length: list[tuple[np.ndarray, np.ndarray]]
-    items: list[tuple[int, ...]]
+    items: list[tuple[str, ...]]
 
 
-def windows_of(rows: list[tuple[np.ndarray, tuple[int, ...]]]) -> Windows:
+def windows_of(rows: list[tuple[np.ndarray, tuple[str, ...]]]) -> Windows:
     vocabulary = np.unique(np.concatenate([w for w, _ in rows])) if rows else np.zeros(0, np.uint64)
     lengths = np.array([len(w) for w, _ in rows], np.int64)
     by_length = []
@@ -169,24 +171,28 @@ def hit_words(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def cut_spans(text: str, windows: Windows) -> str:
-    """The text without its removal spans, until no window is left. A span runs from its first word to its last."""
+def cut_words(text: str, words: Words, hit: np.ndarray) -> str:
+    """The text without its removal spans: each from the first to the last of neighbouring words that are hit."""
+    raw, parts, done = text.encode(), [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        parts.append(raw[done : words.starts[a]])
+        done = int(words.ends[b - 1])
+    return b" ".join([*parts, raw[done:]]).decode()
+
+
+def cut_windows(text: str, windows: Windows) -> str:
+    """The text without its removal spans, until no window is left."""
     while True:
         words = words_of(pa.array([text], pa.string()), ALNUM)
         _, at, length = occurrences(windows, words.hashes, words.first)
         if not len(at):
             return text
-        hit = hit_words(at, length, len(words.hashes))
-        raw, parts, done = text.encode(), [], 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            parts.append(raw[done : words.starts[a]])
-            done = int(words.ends[b - 1])
-        text = b" ".join([*parts, raw[done:]]).decode()
+        text = cut_words(text, words, hit_words(at, length, len(words.hashes)))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows ``words array<long>`` (word hashes) with the sorted ``items`` that have them; null texts have none."""
+    """Distinct windows ``words array<long>`` (word hashes) with the sorted ``items`` that have them, as text; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,22 +202,31 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 spans = [own[s : s + window] for s in range(len(own) - window + 1)] if len(own) >= window else [own] if len(own) else []
                 out += [s.tolist() for s in spans]
                 names += [item] * len(spans)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(names, pa.int64())], ["words", "item_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(names, pa.string())], ["words", "item_id"])
+
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter(F.col("item_id").isNotNull())
+    return map_batches(items, run, "words array<long>, item_id string").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+@dataclass
+class _Blocks:
+    """The windows as a table, and how many blocks to take it in."""
+
+    rows: DataFrame
+    number: int
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(F.col("item_id").isNotNull())
-    return items.mapInArrow(run, "words array<long>, item_id long").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    def broadcasts(self) -> Iterator[Broadcast]:
+        """One block after the other; each is destroyed when the next is asked for."""
+        for k in range(self.number):
+            part = self.rows.filter(F.pmod(F.xxhash64("words"), F.lit(self.number)) == k)
+            shared = self.rows.sparkSession.sparkContext.broadcast(windows_of([(np.array(r.words, np.int64).view(np.uint64), tuple(r["items"])) for r in part.toLocalIterator()]))
+            yield shared
+            shared.destroy()
 
 
-def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Windows]:
-    """The windows in blocks that fit a task; one block unless the benchmark is very large."""
-    rows = benchmark_windows(benchmark, window)
-    n = rows.count()
-    blocks = max(1, -(-n // block_windows))
-    if blocks > 1:
-        rows = materialise(rows, "windows")
-    for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield windows_of([(np.array(r.words, np.int64).view(np.uint64), tuple(r["items"])) for r in part.toLocalIterator()])
+def _blocks(benchmark: DataFrame, window: int, block_windows: int, scratch: Scratch) -> _Blocks:
+    rows = scratch.write(benchmark_windows(benchmark, window), "windows")
+    return _Blocks(rows, max(1, -(-rows.count() // block_windows)))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -243,14 +258,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and everything beyond ASCII. Null and empty texts have no
-    words and are clean; null item_ids are no items; repeated rows are reported each; other columns are ignored. With
-    an empty benchmark every document is clean.
+    words and are clean; null item_ids are no items, others count as text; repeated rows are reported each; other columns
+    are ignored. With an empty benchmark every document is clean.
     """
-    blocks = list(_blocks(benchmark, window, block_windows)) or [windows_of([])]
-    spark = docs.sparkSession
-    if len(blocks) > 1:
-        return _hits_in_blocks(docs, blocks, shard_bytes)
-    shared = spark.sparkContext.broadcast(blocks[0])
+    scratch = Scratch(docs.sparkSession)
+    blocks = _blocks(benchmark, window, block_windows, scratch)
+    if blocks.number > 1:
+        return _hits_in_blocks(docs, blocks, shard_bytes, scratch)
+    shared = next(blocks.broadcasts())
+    scratch.drop("windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
@@ -263,18 +279,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
             doc = np.searchsorted(first, at, side="right") - 1
             pairs = np.unique(np.stack([doc, which], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
             for chunk in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else []:
-                items = sorted({str(i) for w in chunk[:, 1].tolist() for i in windows.items[w]})
+                items = sorted({i for w in chunk[:, 1].tolist() for i in windows.items[w]})
                 n_items[chunk[0, 0]], digest[chunk[0, 0]] = len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), pa.array(n_hit), pa.array(n_items), pa.array(digest.tolist(), pa.string()), pa.array(n_hit > 0)], HITS.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", "))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, HITS)
 
 
-def _hits_in_blocks(docs: DataFrame, blocks: list[Windows], shard_bytes: int) -> DataFrame:
-    """For a benchmark beyond one block: each block's hit spans and items by row, then joined by row."""
-    spark = docs.sparkSession
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    schema = "row long, n_words long, spans array<struct<a: long, b: long>>, items array<long>"
+def _spans_by_row(rows: DataFrame, blocks: _Blocks, shard_bytes: int, scratch: Scratch) -> DataFrame:
+    """``row, n_words, spans, items`` of each row (``row, text``) and block of windows; the blocks' results are written one by one."""
+    schema = "row long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
 
     def of(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +301,23 @@ def _hits_in_blocks(docs: DataFrame, blocks: list[Windows], shard_bytes: int) ->
                     spans[d].add((p - int(first[d]), p - int(first[d]) + n))
                     items[d].update(shared.value.items[w])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(np.diff(first)), pa.array([[{"a": a, "b": b} for a, b in sorted(s)] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(i) for i in items], pa.list_(pa.int64()))],
+                    [part.column("row"), pa.array(np.diff(first)), pa.array([[{"a": a, "b": b} for a, b in sorted(s)] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
                     ["row", "n_words", "spans", "items"],
                 )
 
-        return rows.select("row", "text").mapInArrow(run, schema)
+        return map_batches(rows.select("row", "text"), run, schema)
 
     found = None
-    for block in blocks:
-        own = of(spark.sparkContext.broadcast(block))
+    for k, shared in enumerate(blocks.broadcasts()):
+        own = scratch.write(of(shared), f"spans-{k}")
         found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _hits_in_blocks(docs: DataFrame, blocks: _Blocks, shard_bytes: int, scratch: Scratch) -> DataFrame:
+    """For a benchmark beyond one block: each block's spans and items, joined by row."""
+    rows = scratch.write(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _spans_by_row(rows, blocks, shard_bytes, scratch)
     both = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
@@ -304,7 +325,7 @@ def _hits_in_blocks(docs: DataFrame, blocks: list[Windows], shard_bytes: int) ->
         lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0).cast("long"), s.b - F.greatest(s.a, acc.end))).alias("n"), F.greatest(acc.end, s.b).alias("end")),
         lambda acc: acc.n,
     )
-    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    names = F.array_sort("items")
     out = rows.select("row", "doc_id").join(both, "row").withColumn("n_hit", covered)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -313,36 +334,72 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """``docs`` with all benchmark windows cut out of ``text`` (and ``n_chars`` counted anew where it is a column).
 
     Texts without a window stay as they are, null texts too; a text in which the cut leaves no word goes. All columns
-    are kept. Cutting is repeated until no window is left, as two ends may join to a new one.
+    are kept, and rows with null or repeated doc_ids. An empty table stays empty, and an empty benchmark cuts nothing.
+    Cutting is repeated until no window is left, as two ends may join to a new one.
     """
-    out = docs
-    for windows in _blocks(benchmark, window, block_windows):
-        out = _cut(out, docs.sparkSession.sparkContext.broadcast(windows), shard_bytes)
-    return out
+    scratch = Scratch(docs.sparkSession)
+    blocks = _blocks(benchmark, window, block_windows, scratch)
+    if blocks.number == 1:
+        out = _cut(docs, next(blocks.broadcasts()), shard_bytes)
+        scratch.drop("windows")
+        return out
+    rows, names = docs, docs.columns
+    while True:  # the same rounds as ``cut_windows``, over all blocks each
+        rows = scratch.write(rows.toDF(*(f"c{k}" for k in range(len(names)))).withColumns({"text": F.col(f"c{names.index('text')}").cast("string"), "row": F.monotonically_increasing_id()}), "rows")
+        found = _spans_by_row(rows, blocks, shard_bytes, scratch).filter(F.size("spans") > 0)
+        if found.isEmpty():
+            return rows.drop("text", "row").toDF(*names)
+        spans = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        rows = _cut_spans(rows.join(spans, "row", "left").drop("text", "row"), names).toDF(*names)
 
 
-def _cut(docs: DataFrame, shared, shard_bytes: int) -> DataFrame:
-    at_text = docs.columns.index("text")
-    at_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+def _cut_spans(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Columns ``names`` of rows with these columns and ``spans``, word ranges to cut."""
+    plain = rows.drop("spans")
+    columns = plain.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans").to_pylist()
+            own = batch.select(columns)
+            hit = [k for k, x in enumerate(spans) if x]
+
+            def cut(k: int, text: str) -> str:
+                words = words_of(pa.array([text], pa.string()), ALNUM)
+                a, b = (np.array([x[c] for x in spans[k]], np.int64) for c in "ab")
+                return cut_words(text, words, hit_words(a, b - a, len(words.hashes)))
+
+            yield _with_texts(own, names, hit, cut)
+
+    return map_batches(rows, run, plain.schema)
+
+
+def _with_texts(rows: pa.RecordBatch, names: list[str], hit: list[int], cut: Callable[[int, str], str]) -> pa.RecordBatch:
+    """Rows (their columns called ``names``) whose texts at ``hit`` are cut, and counted anew; those that lose their last word go."""
+    if not hit:
+        return rows
+    at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    texts, keep = rows.column(at_text).to_pylist(), np.ones(rows.num_rows, bool)
+    chars = rows.column(at_chars).to_pylist() if at_chars is not None else None
+    for k in hit:
+        texts[k] = cut(k, texts[k])
+        keep[k] = bool(len(words_of(pa.array([texts[k]], pa.string()), ALNUM).hashes))
+        if chars is not None:
+            chars[k] = len(texts[k])
+    columns = list(rows.columns)
+    columns[at_text] = pa.array(texts, rows.column(at_text).type)
+    if chars is not None:
+        columns[at_chars] = pa.array(chars, rows.column(at_chars).type)
+    return pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
+
+
+def _cut(docs: DataFrame, shared: Broadcast, shard_bytes: int) -> DataFrame:
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, hashes, first in _shards(batches, shard_bytes):
             _, at, _ = occurrences(shared.value, hashes, first)
-            hit = np.unique(np.searchsorted(first, at, side="right") - 1)
-            if not len(hit):
-                yield rows
-                continue
-            texts, keep = rows.column(at_text).to_pylist(), np.ones(rows.num_rows, bool)
-            chars = rows.column(at_chars).to_pylist() if at_chars is not None else None
-            for k in hit.tolist():
-                texts[k] = cut_spans(texts[k], shared.value)
-                keep[k] = bool(len(words_of(pa.array([texts[k]], pa.string()), ALNUM).hashes))
-                if chars is not None:
-                    chars[k] = len(texts[k])
-            columns = list(rows.columns)
-            columns[at_text] = pa.array(texts, rows.column(at_text).type)
-            if chars is not None:
-                columns[at_chars] = pa.array(chars, rows.column(at_chars).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+            hit = np.unique(np.searchsorted(first, at, side="right") - 1).tolist()
+            yield _with_texts(rows, names, hit, lambda _, text: cut_windows(text, shared.value))
+
+    return map_batches(docs, run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, language_id, lm_score, lm_whole, near_dedup, oracles, packing, syncmers, token_orc, toxicity, warc
+from . import chat, common, decontaminate, language_id, lm_score, near_dedup, oracles, packing, syncmers, token_orc, toxicity, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -80,7 +80,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     target = common.table(spark, sf_dir, "labels").filter("quality = 1")
-    return lm_whole.score_corpus(lm_score.with_target(docs, target))
+    return lm_score.score_corpus(lm_score.with_target(docs, target))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,13 +2,15 @@
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the least of its s-mers, by a hash, is its first or its last.
 That depends on the k-mer alone, so two texts that share a passage share its syncmers, wherever it stands: anchors for
-positional matching. A text's fingerprint is the ``SKETCH`` least hashes of its syncmers; the likeness of two
-fingerprints estimates the similarity of the syncmer sets.
+positional matching. A text's fingerprint is the ``size`` least hashes of its syncmers; the likeness of two fingerprints
+estimates the similarity of the syncmer sets, with a standard error of at most 0.5 / sqrt(size). ``aligned`` is exact: it
+takes all anchors of both texts and counts those that they have in one order.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, filled, partitions, range_splits, slices, split_mix, text_bytes, with_range
+from .common import byte_offsets, filled, map_batches, partitions, range_splits, slices, split_mix, text_bytes, with_range
 
-K, S, SKETCH = 16, 5, 64
+K, S = 16, 5
+#: Hashes of a fingerprint: 64 have a standard error of 0.06.
+SKETCH = 64
 
 
 def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +76,13 @@ def text_anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketches(texts: pa.Array, size: int = SKETCH) -> list[np.ndarray]:
-    """The ``size`` least distinct hashes, 32 bits of each, ascending; fewer for texts with fewer syncmers."""
+    """``least_hashes`` of the texts' anchors."""
     _, hashes, first = text_anchors(texts)
+    return least_hashes(hashes, first, size)
+
+
+def least_hashes(hashes: np.ndarray, first: np.ndarray, size: int = SKETCH) -> list[np.ndarray]:
+    """The ``size`` least distinct hashes of each text, 32 bits of each, ascending; fewer for texts with fewer syncmers."""
     values = (hashes >> np.uint64(32)).astype(np.uint32)
     n = np.diff(first)
     # the least are below a bound that so many pass, nearly always; a text where too few do is taken whole
@@ -109,16 +118,44 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(np.intersect1d(a, b, assume_unique=True), least).sum() / len(least))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def aligned(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the anchors of two texts, given as their hashes in order, that stand in one order in both; 1 for equal ones.
+
+    The k-th anchor of a hash in one text matches the k-th in the other; of the matches, the longest run that rises in both counts.
+    """
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    keys = []
+    for x in (a, b):
+        order = np.argsort(x, kind="stable")
+        new = np.concatenate([[True], x[order][1:] != x[order][:-1]])
+        nth = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        key = np.empty(len(x), np.uint64)
+        key[order] = x[order] + split_mix(nth.astype(np.uint64))
+        keys.append(key)
+    _, at, there = np.intersect1d(*keys, return_indices=True)
+    there = there[np.argsort(at)]
+    if (np.diff(there) > 0).all():
+        n = len(there)
+    else:
+        ends: list[int] = []  # the least end of a rising run of each length
+        for t in there.tolist():
+            k = bisect.bisect_left(ends, t)
+            ends[k : k + 1] = [t]
+        n = len(ends)
+    return 2 * n / (len(a) + len(b))
+
+
+def fingerprints(docs: DataFrame, *, size: int = SKETCH) -> DataFrame:
     """``doc_id, fingerprint`` of every row of ``docs`` (``doc_id, text``); null texts are empty, with an empty fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column("text"))
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([to_text(x) for x in sketches(texts.slice(a, b - a))], pa.string())], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([to_text(x) for x in sketches(texts.slice(a, b - a), size)], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fingerprint string")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -133,15 +170,17 @@ def anchors(docs: DataFrame) -> DataFrame:
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(found - np.repeat(byte_offsets(part)[:-1], n)), pa.array(hashes.view(np.int64))], ["doc_id", "position", "hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, position long, hash long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, position long, hash long")
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double"
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, *, size: int = SKETCH) -> DataFrame:
     """Each text against an edit of it that ends as the next document begins, and against that next document.
 
+    ``near_edited`` and ``near_next`` are likenesses of fingerprints, ``aligned_edited`` that of all anchors by position.
+
     The order is descending (doc_id, text), null doc_ids last; after the last comes the first. The last half of a text's
     code points (rounded down) gives way to as many of the next text's first, or all. Null texts are empty; repeated
     rows count each; a single document is its own next. The texts are shuffled once, into ranges of doc_ids; each
@@ -168,17 +207,20 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             if not at:
                 return
             texts = [r[1] for r in rows_]
-            own = sketches(pa.array(texts, pa.string()))
+            _, hashes, first = text_anchors(pa.array(texts, pa.string()))
+            own = least_hashes(hashes, first, size)
             edited = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k + 1][: len(texts[k]) // 2] for k in at]
-            edits = sketches(pa.array(edited, pa.string()))
+            _, edit_hashes, edit_first = text_anchors(pa.array(edited, pa.string()))
+            edits = least_hashes(edit_hashes, edit_first, size)
             columns = [
                 pa.array([rows_[k][0] for k in at], pa.int64()),
                 pa.array([len(texts[k]) for k in at], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                 pa.array([to_text(own[k]) for k in at], pa.string()),
                 pa.array([to_text(x) for x in edits], pa.string()),
-                pa.array([likeness(own[k], x) for k, x in zip(at, edits, strict=True)], pa.float64()),
-                pa.array([likeness(own[k], own[k + 1]) for k in at], pa.float64()),
+                pa.array([likeness(own[k], x, size) for k, x in zip(at, edits, strict=True)], pa.float64()),
+                pa.array([likeness(own[k], own[k + 1], size) for k in at], pa.float64()),
+                pa.array([aligned(hashes[first[k] : first[k + 1]], edit_hashes[edit_first[n] : edit_first[n + 1]]) for n, k in enumerate(at)], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EDITED.split(", ")])
 
@@ -190,4 +232,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 yield from compared(held)
                 held = held[-1:]
 
-    return dealt.mapInArrow(run, EDITED)
+    return map_batches(dealt, run, EDITED)

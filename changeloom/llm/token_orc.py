@@ -4,8 +4,9 @@ ORC writes integers run-length encoded in stripes, with an index entry for every
 Bloom filter on ``doc_id``; a reader takes stripes in parallel, and a filter on ``doc_id`` skips files, stripes
 and row groups by their statistics.
 
-The files hold ``doc_id, shard, start_in_shard, ids``. A document's place among all ids is its shard's first place
-plus ``start_in_shard``; the shards' sizes are one short row for each file.
+The files hold ``doc_id, shard, start_in_shard, n_tokens, ids``. A document's place among all ids is its shard's first
+place plus ``start_in_shard``; the shards' first places are a small table beside the files, a row for each file, so a
+look-up of documents reads nothing but their stripes.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BatchEncoder
-from .common import filled, partitions, range_splits, slices, with_range
+from .common import filled, map_batches, partitions, range_splits, slices, with_range
 
-FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, ids array<int>"
+FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
+SHARDS = "_shards"
 END_ID, ROW_INDEX_STRIDE, BLOOM_FPP = 2, 2000, 0.01
 
 
@@ -53,23 +55,24 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
                     at_shard = shard[k]
                 start = int(starts[-1] + sizes[-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(shard), pa.array(starts), lists], ["doc_id", "shard", "start_in_shard", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(shard), pa.array(starts), pa.array(sizes.astype(np.int32)), lists], ["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
 
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "orc.row.index.stride": str(row_index_stride), "orc.create.index": "true", "compression": "zstd"}
-    dealt.mapInArrow(run, FILE_SCHEMA).write.options(**options).orc(path)
+    map_batches(dealt, run, FILE_SCHEMA).write.options(**options).orc(path)
+    spark, at, places = docs.sparkSession, 0, []
+    sizes = spark.read.schema(FILE_SCHEMA).orc(path).groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
+    for r in sorted(sizes):
+        places.append((r.shard, at))
+        at += r.n
+    spark.createDataFrame(places, "shard int, first long").coalesce(1).write.parquet(f"{path}/{SHARDS}")
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """The files' rows with ``start``, a document's place among all ids. ``doc_ids`` is pushed down to the ORC index."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    sizes = rows.groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).collect()  # a row for each file
-    at, places = 0, []
-    for r in sorted(sizes):
-        places.append((r.shard, at))
-        at += r.n
     if doc_ids is not None:
         rows = rows.filter(F.col("doc_id").isin(doc_ids))
-    firsts = F.broadcast(spark.createDataFrame(places, "shard int, first long"))  # as many rows as files
+    firsts = F.broadcast(spark.read.schema("shard int, first long").parquet(f"{path}/{SHARDS}"))  # as many rows as files
     return rows.join(firsts, "shard").select(*rows.columns, (F.col("first") + F.col("start_in_shard")).alias("start"))
 
 
@@ -84,4 +87,4 @@ def with_ids_crc32(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[at[k] : at[k + 1]].tobytes()) for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows.select("doc_id", "start", "ids"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

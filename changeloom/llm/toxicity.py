@@ -5,7 +5,8 @@ characters; ``l``, ``1`` and ``i`` are one letter. Lexicon entries are words, or
 matches inside an exception phrase don't count. The weights found are summed, once as they are and once over the
 length of the text, and a logistic curve makes the score of both.
 
-The lexicon is learned from a bounded sample of labelled texts.
+All is learned from a bounded sample of labelled texts: the lexicon from what toxic texts have and others lack, and the
+exceptions, pairs of words of which one is an entry, from what other texts have and toxic ones lack.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,16 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, texts_of
+from .common import Scratch, bounded_broadcast, map_batches, texts_of
 
-#: Labelled texts that are learned from at most; candidate entries and lexicon entries at most.
-SAMPLE, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
-#: An entry's least documents, and its least log ratio of toxic to other documents.
-LEAST_DOCS, LEAST_RATIO = 3, 2.5
+#: Labelled texts that are learned from at most.
+SAMPLE = 20_000
+#: An entry's least documents, and its least log ratio of toxic to other documents; an exception's greatest share of toxic ones.
+LEAST_DOCS, LEAST_RATIO, EXCEPTION_SHARE = 3, 2.5, 0.1
 STEMS = (4, 5, 6, 7)
 #: What a text still counts for the next entry, for each entry already chosen in it.
 DECAY = 0.7
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "circus clown", "rodeo clown", "clown fish", "not stupid", "not worthless")
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
 _LOOK_ALIKE = dict(zip("аеорсухіјѕһԁԛԝвнкмтгαβγδεηικνορτυχωℓ∂", "aeopcyxijshdqwbhkmtrabydenikvoptuxwld", strict=True))
@@ -69,7 +69,7 @@ class ToxicityModel:
     """``lexicon``: weight of each folded entry; ``curve``: intercept and slopes for the sum and the density."""
 
     lexicon: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-4.0, 2.0, 1.0)
 
 
@@ -87,9 +87,8 @@ class Matcher:
         if found:
             self.automaton.make_automaton()
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Sum of the weights found, and that sum over the words of the text."""
-        folded = fold(text)
+    def hits(self, folded: str) -> dict[int, float]:
+        """Where words with an entry begin that no exception covers, and the weight of each one's heaviest entry."""
         hits, safe = [], []
         if len(self.automaton):
             for end, (n, kinds) in self.automaton.iter(folded):
@@ -104,19 +103,35 @@ class Matcher:
                     elif begins != closed:  # a beginning has more behind it
                         hits.append((start, end, weight))
         best: dict[int, float] = {}
-        for start, end, weight in hits:  # one entry a word: the heaviest
+        for start, end, weight in hits:
             if not any(a <= start and end <= b for a, b in safe):
                 best[start] = max(best.get(start, 0.0), weight)
-        total = sum(best.values())
+        return best
+
+    def features(self, text: str) -> tuple[float, float]:
+        """Sum of the weights found, one a word, and that sum over the words of the text."""
+        folded = fold(text)
+        total = sum(self.hits(folded).values())
         return total, total / max(1, len(_WORD.findall(folded))) if total else 0.0
 
+    def pairs(self, text: str) -> set[str]:
+        """Words with an entry together with the word before or behind, where a single space is between."""
+        folded = fold(text)
+        if not (hits := self.hits(folded)):
+            return set()
+        words, out = [m.span() for m in _WORD.finditer(folded)], set()
+        for (a, b), (c, d) in zip(words, words[1:], strict=False):
+            if (a in hits or c in hits) and folded[b:c] == " ":
+                out.add(folded[a:d])
+        return out
+
     def score(self, text: str) -> float:
         a, b, c = self.model.curve
         total, density = self.features(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * math.log1p(100 * density)))))
 
 
-def choose_entries(candidates: dict[str, float], toxic: list[list[str]], least: float, limit: int = ENTRIES) -> list[str]:
+def choose_entries(candidates: dict[str, float], toxic: list[list[str]], least: float) -> list[str]:
     """Entries that explain toxic texts which others don't yet.
 
     Each text counts less for each entry already chosen in it, so what merely stands beside known entries in
@@ -134,7 +149,7 @@ def choose_entries(candidates: dict[str, float], toxic: list[list[str]], least:
 
     heap = [turn(t) for t in inside]
     heapq.heapify(heap)
-    while heap and len(out) < limit:
+    while heap:
         before = heapq.heappop(heap)
         t = before[-1]
         if sum(weight[k] for k in inside[t]) < least:
@@ -162,53 +177,77 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, rou
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, exceptions: Sequence[str] = ()) -> ToxicityModel:
     """Learn from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``); null texts and labels teach nothing.
 
     Of more than ``sample`` labelled doc_ids, those with the least hashes are used, about. A doc_id with several labels
-    counts as toxic if any is. Equal texts count once. Without a toxic or without another text every score is 0.02.
+    counts as toxic if any is. Equal texts count once. Without a toxic or without another text every score is 0.02, so
+    too for empty tables. ``exceptions`` are phrases to hold beside those that are learned.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(min(1.0, sample / max(1, n)) * 1_000_003)) if n > sample else marks
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(bounded_broadcast(chosen, 2 * sample), "doc_id")
-    rows = materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+
+    def counted(found: dict[int, Counter]) -> pa.RecordBatch:
+        keys = list(found[0] | found[1])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([found[k][x] for x in keys], pa.int64()) for k in (1, 0))], ["term", "toxic", "other"])
+
+    def summed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        found = map_batches(rows, run, "term string, toxic long, other long")
+        return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, mark in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 found[int(mark == 1)].update(terms(fold(text)))
-            keys = list(found[0] | found[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())], ["term", "toxic", "other"])
+            yield counted(found)
 
     sizes = {r.toxic: r.n for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_other:
         return ToxicityModel({}, tuple(exceptions))
-    counts = rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    best = counts.withColumn("ratio", ratio).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc(F.col("toxic") * F.col("ratio")), "term").limit(CANDIDATES)
+    best = summed(count).withColumn("ratio", ratio).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
     candidates = {r.term: r.ratio for r in best.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(t for t in terms(fold(x)) if t in shared.value) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["terms"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(t for t in terms(fold(x)) if t in shared.value) for x in texts_of(batch.column("text"))], pa.list_(pa.string()))], ["terms"])
 
-    toxic = [r.terms for r in rows.filter("toxic = 1").select("text").mapInArrow(listed, "terms array<string>").collect()]
+    toxic = [r.terms for r in map_batches(rows.filter("toxic = 1").select("text"), listed, "terms array<string>").collect()]  # of the sample
     lexicon = {t: float(candidates[t]) for t in choose_entries(candidates, toxic, max(2.0, 0.003 * n_toxic))}
-    model = ToxicityModel(lexicon, tuple(exceptions))
+    shared.destroy()
+    bare = docs.sparkSession.sparkContext.broadcast(ToxicityModel(lexicon, tuple(exceptions)))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(bare.value)
+        for batch in batches:
+            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, mark in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+                found[int(mark == 1)].update(matcher.pairs(text))
+            yield counted(found)
+
+    learned = summed(paired).filter((F.col("other") >= LEAST_DOCS) & (F.col("toxic") <= EXCEPTION_SHARE * (F.col("toxic") + F.col("other"))))
+    model = ToxicityModel(lexicon, (*exceptions, *sorted(r.term for r in learned.select("term").collect())))  # of the sample
+    bare.destroy()
     weighed = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(weighed.value)
         for batch in batches:
-            found = [matcher.features(x) for x in batch.column("text").to_pylist()]
+            found = [matcher.features(x) for x in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64()), pa.array([int(x == 1) for x in batch.column("toxic").to_pylist()], pa.int64())], ["total", "density", "toxic"])
 
-    points = np.array([tuple(r) for r in rows.mapInArrow(measured, "total double, density double, toxic long").collect()])
+    points = map_batches(rows, measured, "total double, density double, toxic long").toArrow()  # a row for each text of the sample
+    points = np.stack([points.column(c).to_numpy() for c in ("total", "density", "toxic")], 1).astype(np.float64)
     model.curve = fit_curve(points[:, :2], points[:, 2])
+    weighed.destroy()
+    scratch.drop()
     return model
 
 
@@ -226,11 +265,14 @@ def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = np.array([matcher.score(t) for t in texts_of(batch.column("text"))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``limit``; all columns stay as they are."""
+    """Rows of ``docs`` that score below ``limit``; all columns stay as they are.
+
+    Null and empty texts are kept, as are null doc_ids and repeated rows; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
@@ -239,4 +281,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> Dat
         for batch in batches:
             yield batch.filter(pa.array([matcher.score(t) < limit for t in texts_of(batch.column(at_text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -69,16 +69,37 @@ def test_hits_equal_brute_force(spark, block):
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-def test_cut_leaves_no_window(spark):
+@pytest.mark.parametrize("block", [1_000_000, 30])
+def test_cut_leaves_no_window(spark, block):
     docs, items = cases()
     df = spark.createDataFrame([(d, t, "s", len(t or "")) for d, t in docs], "doc_id long, text string, source string, n_chars long")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate(df, bench, shard_bytes=3000)
+    out = decontaminate(df, bench, shard_bytes=3000, block_windows=block)
     rows = out.collect()
     assert out.columns == df.columns and not any(r[5] for r in brute([(r.doc_id, r.text) for r in rows], items))
     assert all(r.n_chars == len(r.text or "") for r in rows)
     clean = {d for d, _, n, *_ in brute(docs, items) if not n}
     kept = {r.doc_id: r.text for r in rows}
     assert all(kept[d] == t for d, t in docs if d in clean)
+    whole = {r.doc_id: r.text for r in decontaminate(df, bench).collect()}
+    assert kept == whole
+    assert decontaminate(df, bench.limit(0)).count() == df.count() and decontaminate(df.limit(0), bench, block_windows=block).count() == 0
     assert benchmark_hits(df, bench.limit(0)).filter("contaminated").count() == 0
     assert benchmark_hits(df.limit(0), bench).count() == 0
+
+
+def test_cuts_that_join_a_window_of_another_block(spark):
+    """The second item's window appears when the first item's is cut out of its middle."""
+    one, two = " ".join(f"a{k}" for k in range(10)), " ".join(f"b{k}" for k in range(10))
+    text = f"start {two[:14]} {one} {two[15:]} end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for items in ([(1, one), (2, two)], [(1, two), (2, one)]):
+        for block in (1, 100):
+            bench = spark.createDataFrame(items, "item_id long, text string")
+            assert decontaminate(df, bench, block_windows=block).first().text.split() == ["start", "end"]
+
+
+def test_text_item_ids(spark):
+    df = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    got = benchmark_hits(df, spark.createDataFrame([("set/7", "two"), ("set/10", "two three")], "item_id string, text string")).first()
+    assert got.n_items == 2 and got.items_sha256 == hashlib.sha256(b"set/10,set/7").hexdigest()

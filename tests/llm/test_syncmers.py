@@ -40,6 +40,38 @@ def test_sketch_is_exact_bottom():
         assert S.from_text(S.to_text(own)).tolist() == own.tolist()
 
 
+def plain_aligned(a, b):
+    """By the table of longest rising runs; repeated anchors are matched in order."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    nth = lambda x: [(h, x[:i].count(h)) for i, h in enumerate(x)]
+    place = {k: i for i, k in enumerate(nth(b))}
+    rise = []
+    for k in nth(a):
+        if k in place:
+            rise.append((place[k], 1 + max((n for p, n in rise if p < place[k]), default=0)))
+    return 2 * max((n for _, n in rise), default=0) / (len(a) + len(b))
+
+
+def test_aligned_counts_anchors_in_one_order():
+    rng = random.Random(12)
+    for _ in range(40):
+        a = [rng.randrange(30) for _ in range(rng.randrange(0, 40))]
+        b = rng.choice([a, a[5:] + a[:5], [rng.randrange(30) for _ in range(20)], [*a[:10], 99, *a[10:]]])
+        assert S.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == pytest.approx(plain_aligned(a, b))
+
+
+def test_longer_sketches_are_nearer_the_truth():
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(9999)}" for _ in range(900)]
+    texts = pa.array([" ".join(words), " ".join(words[:450] + [f"v{k}" for k in range(450)])])
+    (_, h, at) = S.text_anchors(texts)
+    one, two = (set((h[at[k] : at[k + 1]] >> np.uint64(32)).tolist()) for k in (0, 1))
+    true = len(one & two) / len(one | two)
+    assert S.likeness(*S.sketches(texts, 1 << 20), 1 << 20) == pytest.approx(true)
+    assert abs(S.likeness(*S.sketches(texts, 512), 512) - true) < 0.05
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_compare_with_next(spark, parts):
     rng = random.Random(10)
@@ -55,6 +87,8 @@ def test_compare_with_next(spark, parts):
         mine, edit, other = S.sketches(pa.array([text, edited, nxt]))
         assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), S.to_text(mine), S.to_text(edit))
         assert (r.near_edited, r.near_next) == (S.likeness(mine, edit), S.likeness(mine, other))
+        whole, part = (S.text_anchors(pa.array([x]))[1].tolist() for x in (text, edited))
+        assert r.aligned_edited == pytest.approx(plain_aligned(whole, part))
         assert 0 <= r.near_next <= 1 and (text != edited or r.near_edited == 1)
 
 

@@ -28,3 +28,17 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark, tmp_path):
     write_token_orc(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/o", PATH)
     assert with_ids_crc32(read_token_orc(spark, f"file://{tmp_path}/o")).count() == 0
+
+
+def test_look_up_reads_few_rows(spark, tmp_path):
+    """Files, stripes and row groups without the doc_id are skipped, and no ids are read for the offsets."""
+    df = spark.range(40_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    write_token_orc(df, f"file://{tmp_path}/o", PATH, shards=4)
+    found = spark.read.orc(f"file://{tmp_path}/o").filter("doc_id = 12345")
+    assert [r.doc_id for r in found.collect()] == [12345]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 0 < scan.metrics().apply("numOutputRows").value() <= 4000
+    one = read_token_orc(spark, f"file://{tmp_path}/o", [12345])
+    assert one.count() == 1 and "EqualTo(doc_id,12345)" in one._jdf.queryExecution().executedPlan().toString()
+    firsts = spark.read.parquet(f"file://{tmp_path}/o/_shards").collect()
+    assert len(firsts) == 4 and min(r["first"] for r in firsts) == 0
