@@ -1,6 +1,12 @@
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from changeloom.llm import language_id as L
+from changeloom.llm import wordhash
 from changeloom.llm.common import crc32_mod, table
 from changeloom.llm.queries import op5_language_id
 
@@ -37,19 +43,42 @@ def test_cases(spark):
 
 
 def test_backoff_goes_down_by_order():
-    import numpy as np
+    def own(rows):
+        codes = np.array([(L.gram_code if n else L.word_code)(g) for n, g in rows], np.uint64)
+        order = np.argsort(codes)
+        return L.Table(codes[order], np.array([[x, -x] for x in rows.values()]).reshape(-1, 2)[order])
 
-    values = np.array([[x, -x] for x in (1.0, 2.0, 3.0, 4.0)])
-    model = L.LanguageModel(["a", "b"], {0: {"word": 0}, 4: {" wor": 1}, 3: {"ord": 2}, 2: {}, 1: {"z": 3}}, values)
+    tables = {0: own({(0, "word"): 1.0}), 4: own({(4, " wor"): 2.0, (4, "worx"): 4.0}), 3: own({(3, "ord"): 3.0}), 2: own({}), 1: own({(1, "z"): 4.0})}
+    model = L.LanguageModel(["a", "b"], tables)
     assert model.vector("word")[0] == 1.0
-    assert model.vector("worx")[0] == pytest.approx(2.0 * 0.8)
+    assert model.vector("worx")[0] == pytest.approx(3.0 * 0.8)
     assert model.vector("xord")[0] == pytest.approx(3.0 * 0.8**2)
     assert model.vector("zq")[0] == pytest.approx(4.0 * 0.8**4)
     assert model.vector("qq") is None
+    text = "word worx xord zq qq z"
+    runs = L.letter_runs(pa.array([text]))
+    got, known = model.vectors(runs, np.arange(6), L.run_hashes(runs.points, runs.starts, runs.ends))
+    want = [model.vector(w) for w in text.split()]
+    assert known.tolist() == [w is not None for w in want]
+    assert got[known].tolist() == [pytest.approx(w) for w in want if w is not None]
+
+
+def test_hashes_equal_their_plain_forms(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcÄé日 𐐀\n1_") for _ in range(rng.randrange(0, 60))) for _ in range(40)] + ["", "x" * 900]
+    monkeypatch.setattr(wordhash, "WINDOW", 64)  # words that run over several windows
+    runs = L.letter_runs(pa.array(texts))
+    words = [(k, "".join(x).lower()) for k, t in enumerate(texts) for is_word, x in itertools.groupby(t, str.isalpha) if is_word]
+    assert runs.text.tolist() == [k for k, _ in words]
+    assert L.run_hashes(runs.points, runs.starts, runs.ends).tolist() == [L.word_code(w) for _, w in words]
+    for n in L.ORDERS:
+        codes, owner = L.gram_hashes(runs, np.arange(len(words)), n)
+        assert list(zip(owner.tolist(), codes.tolist())) == [(k, L.gram_code(g)) for k, (_, w) in enumerate(words) for g in L.grams(w, n)]
 
 
 def test_every_word_of_the_sample_is_kept(spark):
     words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(12_000)]
     rows = [(k, " ".join(words[k * 100 : k * 100 + 100]), "en") for k in range(120)]
     model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert all(model.tables[0].get(w) is not None for w in words) and model.tables[0].get("unseen") is None
+    known = model.tables[0].rows(np.array([L.word_code(w) for w in [*words, "unseen"]], np.uint64)) >= 0
+    assert known.tolist() == [True] * len(words) + [False]
