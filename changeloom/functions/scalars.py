@@ -94,10 +94,24 @@ def decimal_type(typmod: Column) -> Column:
     return F.when((p >= 1) & (p <= 76) & (s >= 0) & (s <= p), F.concat(F.lit("Decimal("), p.cast("string"), F.lit(", "), s.cast("string"), F.lit(")"))).otherwise("String")
 
 
+def truncate_text(text: Column, precision: int, scale: int) -> Column:
+    """N2. A number's text with ``scale`` digits behind the point, further ones cut off, not rounded; NULL if it has over
+    ``precision`` digits in all, or is no number (a sign, digits and at most one point).
+
+    All of it is text, so any precision will do.
+    """
+    ok = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    whole = F.regexp_replace(F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), "^0+", "")
+    tail = F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]*)$", 1), 1, scale), scale, "0") if scale else F.lit("")
+    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("." if scale else ""), tail)
+    sign = F.when(text.startswith("-") & digits.rlike("[1-9]"), "-").otherwise("")
+    return F.when(ok & (F.length(whole) <= precision - scale), F.concat(sign, digits))
+
+
 def truncate_decimal(text: Column, precision: int, scale: int) -> Column:
-    """N2. A number's text as decimal(precision, scale), further digits cut off, not rounded; NULL if it is too large."""
-    kept = F.regexp_extract(text, rf"^(-?\d*\.?\d{{0,{scale}}})", 1) if scale else F.regexp_extract(text, r"^(-?\d*)", 1)
-    return kept.try_cast(f"decimal({precision},{scale})")
+    """N2. As ``truncate_text``, as decimal(precision, scale) up to 38 digits; beyond that it stays text, as Spark has no such decimal."""
+    cut = truncate_text(text, precision, scale)
+    return cut.cast(f"decimal({precision},{scale})") if precision <= 38 else cut
 
 
 def valid_text(data: Column) -> Column:
@@ -111,3 +125,29 @@ def value_size(*columns: Column) -> Column:
     for c in columns:
         out = out + F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
     return out
+
+
+def quoted_name(name: Column) -> Column:
+    """N16. An identifier in backticks."""
+    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def quoted_text(text: Column) -> Column:
+    """N16, P12. A string literal."""
+    return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def quoted_bytes(data: Column) -> Column:
+    """N16. Bytes as a hex literal."""
+    return F.concat(F.lit("X'"), F.hex(data), F.lit("'"))
+
+
+def relation_path(path: Column) -> dict[str, Column]:
+    """N19. ``db, node, fork, seg`` of a file's path ``base/<db>/<node>[_<fork>][.<seg>]``; NULL where it has none."""
+    part = lambda k: F.nullif(F.regexp_extract(path, r"^base/(\d+)/(\d+)(?:_([a-z]+))?(?:\.(\d+))?$", k), F.lit(""))
+    return {"db": part(1).cast("long"), "node": part(2).cast("long"), "fork": part(3), "seg": part(4).cast("int")}
+
+
+def status_segment(path: Column) -> Column:
+    """N19. The number of a transaction status segment ``pg_xact/<hex>``."""
+    return F.conv(F.nullif(F.regexp_extract(path, r"^pg_xact/([0-9A-Fa-f]+)$", 1), F.lit("")), 16, 10).cast("long")

@@ -1,4 +1,4 @@
-"""Initial loads: visibility of tuples, gaps, staging (F14, F16, F17, J11, J12, J17, J18, L*)."""
+"""Initial loads: visibility of tuples, gaps, staging."""
 
 from __future__ import annotations
 
@@ -7,25 +7,28 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .routing import raised_if
 
-def xid_status(xids: DataFrame, log: DataFrame, patch: DataFrame, tail: int, oldest: int) -> DataFrame:
-    """J11. ``status`` of each ``xid``: Committed, Aborted, InProgress or Unknown.
+
+def xid_status(rows: DataFrame, log: DataFrame, patch: DataFrame, tail: int, oldest: int, xid: str = "xid", name: str = "status") -> DataFrame:
+    """J11. ``name``, the status of each row's ``xid``: Committed, Aborted, InProgress or Unknown.
 
     The patch (xid, committed) outranks the base log (xid, bits); 1 and 2 are committed; at or beyond ``tail`` all are in
-    progress, below ``oldest`` unknown.
+    progress, below ``oldest`` unknown. Both are joined by the xid, so that rows need not be reduced to xids before.
     """
-    both = xids.join(patch.select("xid", F.col("committed").alias("_p")), "xid", "left").join(log.select("xid", F.col("bits").alias("_b")), "xid", "left")
+    both = rows.join(patch.select(F.col("xid").alias(xid), F.col("committed").alias("_p")), xid, "left").join(log.select(F.col("xid").alias(xid), F.col("bits").alias("_b")), xid, "left")
+    own = F.col(xid)
     status = (
-        F.when(F.col("xid").isin(1, 2), "Committed")
+        F.when(own.isin(1, 2), "Committed")
         .when(F.col("_p"), "Committed")
         .when(~F.col("_p"), "Aborted")
-        .when(F.col("xid") >= tail, "InProgress")
-        .when(F.col("xid") < oldest, "Unknown")
+        .when(own >= tail, "InProgress")
+        .when(own < oldest, "Unknown")
         .when(F.col("_b") == 1, "Committed")
         .when(F.col("_b") == 2, "Aborted")
         .otherwise("InProgress")
     )
-    return both.withColumn("status", status).drop("_p", "_b")
+    return both.withColumn(name, status).drop("_p", "_b")
 
 
 def multixact_updater(offsets: DataFrame, members: DataFrame) -> DataFrame:
@@ -39,21 +42,29 @@ def multixact_updater(offsets: DataFrame, members: DataFrame) -> DataFrame:
     return hit.groupBy("mxid").agg(F.min_by("_u", F.when(F.col("_u").isNotNull(), F.col("pos"))).alias("updater"))
 
 
-def visibility(xmin: str = "xmin", xmax: str = "xmax", mask: str = "infomask", min_status: str = "xmin_status", max_status: str = "xmax_status", updater: str = "updater_status") -> Column:
-    """F14. Emit or Skip for a tuple, by its hint bits, then by the outcomes of its xmin, and of its xmax or its updater.
+def visibility(xmin: str = "xmin", xmax: str = "xmax", mask: str = "infomask", min_status: str = "xmin_status", max_status: str = "xmax_status", updater: str = "updater_status", has_log: Column | None = None) -> Column:
+    """F14. Emit, Skip, Defer or Unresolvable for a tuple, by its hint bits, then by the outcomes of its xmin, and of its xmax or its updater.
 
-    ``updater``: Covered, LockOnly or Unresolvable of a multixact, or its updater's status.
+    ``updater``: Covered, LockOnly or Unresolvable of a multixact, or its updater's status; NULL without multixact data.
+    Without a transaction log (``has_log``, true by default) what the hint bits leave open is deferred; so is a tuple whose
+    status is NULL where one is asked for. An Unknown xmin counts as committed, and so does an Unknown xmax.
     """
+    log = F.lit(True) if has_log is None else has_log
     bit = lambda b: F.col(mask).bitwiseAND(F.lit(b)) != 0
     frozen = (F.col(mask).bitwiseAND(F.lit(0x0300)) == 0x0300) | ((F.col(xmin) > 0) & (F.col(xmin) < 3))
+    unhinted = ~frozen & ~bit(0x0100)
     gone = lambda c: F.col(c).isin("Aborted", "InProgress")
+    open_ = lambda c: ~log | F.col(c).isNull()
     lock_only = bit(0x0080) | (F.col(mask).bitwiseAND(F.lit(0x1050)) == 0x0040)
+    multi = F.when(~log, "Defer").when(F.col(updater).isNull() | (F.col(updater) == "Unresolvable"), "Unresolvable").when(F.col(updater).isin("Covered", "LockOnly", "Aborted", "InProgress"), "Emit").otherwise("Skip")
     return (
         F.when(~frozen & bit(0x0200), "Skip")
-        .when(~frozen & ~bit(0x0100) & gone(min_status), "Skip")
+        .when(unhinted & open_(min_status), "Defer")
+        .when(unhinted & gone(min_status), "Skip")
         .when((F.col(xmax) == 0) | bit(0x0800) | lock_only, "Emit")
-        .when(bit(0x1000), F.when(F.col(updater).isNull() | (F.col(updater) == "Unresolvable"), "Unresolvable").when(F.col(updater).isin("Covered", "LockOnly", "Aborted", "InProgress"), "Emit").otherwise("Skip"))
+        .when(bit(0x1000), multi)
         .when(bit(0x0400), "Skip")
+        .when(open_(max_status), "Defer")
         .when(gone(max_status), "Emit")
         .otherwise("Skip")
     )
@@ -74,6 +85,28 @@ def copy_back(live: DataFrame, loaded_at: int, version: str = "_lsn") -> DataFra
     return live.filter(F.col(version) > loaded_at)
 
 
+def gated_load(tuples: DataFrame, lsn: int, verdict: Column | None = None) -> DataFrame:
+    """L3. The visible tuples of a page-level backup (with the columns of ``visibility``) as a baseline at ``lsn``.
+
+    A tuple that the backup can't decide fails the job: taking it could bring a dead version back, leaving it could lose a
+    live row. Deferred ones fail too, as a load has its log.
+    """
+    verdict = visibility() if verdict is None else verdict
+    decided = raised_if(verdict.isin("Unresolvable", "Defer"), F.concat(F.lit("undecided tuple of xmin "), F.col("xmin").cast("string")))
+    return baseline(tuples.filter(decided).filter(verdict == "Emit"), lsn)
+
+
+def object_store_load(base: DataFrame, committed: DataFrame, live: DataFrame, *, redo: int, opt_in: int) -> DataFrame:
+    """L4. A backup taken at ``redo`` for a table that is opted in at ``opt_in``: its rows at the lower of both, what committed
+    in between, and the live rows after. A latest state over them takes each key's newest.
+
+    base: key and value columns; committed and live: those, ``_lsn`` and ``_is_deleted``, committed with ``commit_lsn`` too.
+    """
+    names = [*base.columns, "_lsn", "_is_deleted"]
+    loaded = baseline(base, min(redo, opt_in)).select(*names)
+    return loaded.unionByName(gap_window(committed, redo, opt_in).select(*names)).unionByName(copy_back(live, opt_in).select(*names))
+
+
 def shared_columns(destination: DataFrame, staging: DataFrame) -> list[str]:
     """J17, U5. Columns of both, in the destination's order."""
     return [c for c in destination.columns if c in set(staging.columns)]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import small
-
 # Resource managers whose records are special, and the first object id that is not the catalog's.
 SPECIAL_MANAGERS = ("Xlog", "Xact", "Clog", "MultiXact", "Standby", "RelMap", "CommitTs", "ReplOrigin", "Dbase", "Tblspc", "Smgr")
 FIRST_NORMAL_OID = 16384
+# Heap operations that change no row, and relation kinds with rows of their own (all, and those that can be truncated).
+ROWLESS_OPERATIONS = ("LOCK", "INPLACE", "CONFIRM")
+ROW_KINDS, TRUNCATE_KINDS = ("r", "p", "m", "t"), ("r", "p")
 
 
 def record_class(manager: str = "rmgr", blocks: str = "blocks") -> Column:
@@ -25,7 +26,7 @@ def record_class(manager: str = "rmgr", blocks: str = "blocks") -> Column:
 def with_tracked(records: DataFrame, moved: DataFrame) -> DataFrame:
     """F3. ``tracked``: a block, or the relation that the record's own data names (``located``), is of a node that holds a catalog since ``valid_from`` (node, valid_from, db); db 0 holds for all."""
     first = moved.groupBy("node", "db").agg(F.min("valid_from").alias("valid_from"))
-    hits = records.select("lsn", F.col("db").alias("_db"), F.explode(F.concat("blocks", F.array(F.coalesce("located", F.lit(0).cast("bigint"))))).alias("node")).join(small(first), "node").filter("valid_from <= lsn AND (db = 0 OR db = _db)").select("lsn").distinct()
+    hits = records.select("lsn", F.col("db").alias("_db"), F.explode(F.concat("blocks", F.array(F.coalesce("located", F.lit(0).cast("bigint"))))).alias("node")).join(first, "node").filter("valid_from <= lsn AND (db = 0 OR db = _db)").select("lsn").distinct()
     return records.join(hits.withColumn("tracked", F.lit(True)), "lsn", "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
 
 
@@ -41,6 +42,17 @@ def in_scope(target_db: int, shared: bool = False) -> Column:
     return own | (F.col("db") == 0) if shared else own
 
 
+def yields_rows(manager: str = "rmgr", operation: str = "operation") -> Column:
+    """F9. Whether a heap record changes rows: locks, in-place updates and confirmations don't, nor do Heap2 records but multi-inserts."""
+    heap = (F.col(manager) == "Heap") & ~F.col(operation).isin(*ROWLESS_OPERATIONS)
+    return heap | ((F.col(manager) == "Heap2") & (F.col(operation) == "MULTI_INSERT"))
+
+
+def eligible(oid: str = "oid", kind: str = "kind", *, truncate: bool = False) -> Column:
+    """F15. Whether a relation has rows to follow (or, with ``truncate``, can be emptied): no catalog, and of a kind with rows."""
+    return (F.col(oid) >= FIRST_NORMAL_OID) & F.col(kind).isin(*(TRUNCATE_KINDS if truncate else ROW_KINDS))
+
+
 def explode_multi_insert(records: DataFrame, tuples: str = "tuples") -> DataFrame:
     """F10. A record of several rows becomes as many inserts of the same lsn and xid, numbered by ``tuple_idx``."""
     return records.select("lsn", "xid", "rel", F.posexplode(tuples).alias("tuple_idx", "tuple")).withColumn("op", F.lit("I"))

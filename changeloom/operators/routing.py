@@ -1,11 +1,10 @@
-"""Routes, projections, coercions and runtime configuration (J10, F11, P*, B3, G*, D6)."""
+"""Routes, projections, coercions and runtime configuration (J10, F11, P*, B3, G*, D6, S12)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import small
 from .timeline import asof
 
 # Destination defaults of absent or NULL fields of columns that are not nullable.
@@ -16,12 +15,12 @@ _FIXED_WIDTH = {"Bool": 1, "Int8": 1, "UInt8": 1, "Int16": 2, "UInt16": 2, "Int3
 
 def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
     """J10, F11. Changes with the ``target`` of their relation (rel); those without a route are left out before any decoding."""
-    return changes.join(small(routes.filter("target IS NOT NULL")), "rel")
+    return changes.join(routes.filter("target IS NOT NULL"), "rel")
 
 
 def unmapped_counts(changes: DataFrame, routes: DataFrame) -> DataFrame:
     """F11. How many changes of each relation have no route."""
-    return changes.join(small(routes.filter("target IS NOT NULL")).select("rel"), "rel", "left_anti").groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return changes.join(routes.filter("target IS NOT NULL").select("rel"), "rel", "left_anti").groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 def route_whole_transactions(changes: DataFrame, routes: DataFrame) -> DataFrame:
@@ -45,9 +44,21 @@ def with_missing_default(value: Column, attnum: int, n_atts: Column, default: Co
     return F.when(n_atts < attnum, default if default is not None else F.lit(None)).otherwise(value)
 
 
+def raised_if(bad: Column, message: Column) -> Column:
+    """True, or an error where ``bad``. Spark moves a filter of fixed value below joins and other filters, to rows that those would
+    take away; one with a random part stays where it is."""
+    return F.when(bad & (F.rand() + 1 >= 1), F.raise_error(message).cast("boolean")).otherwise(True)
+
+
+def without_partial(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P7. Rows of transactions (``top_xid``) that the log has whole, and all rows of those of which it has a row only in part."""
+    torn = rows.filter("partial").select("top_xid").distinct()
+    return rows.join(torn, "top_xid", "left_anti"), rows.join(torn, "top_xid", "left_semi")
+
+
 def reject_partial(rows: DataFrame) -> DataFrame:
     """P7. Fails the job on a mapped row of which the log has only a part."""
-    return rows.filter(F.when(F.col("partial"), F.raise_error(F.concat(F.lit("partial row at "), F.col("lsn").cast("string"))).cast("boolean")).otherwise(True))
+    return rows.filter(raised_if(F.col("partial"), F.concat(F.lit("partial row at "), F.col("lsn").cast("string"))))
 
 
 def synthetic(rows: DataFrame) -> DataFrame:
@@ -81,11 +92,28 @@ def layered(defaults: DataFrame, file: DataFrame, overlay: DataFrame, cli: DataF
     """
     out = defaults.select("key", F.col("value").alias("v0"))
     for k, layer in enumerate((file, overlay, cli), 1):
-        out = out.join(small(layer.filter(valid).select("key", F.col("value").alias(f"v{k}"))), "key", "left")
+        out = out.join(layer.filter(valid).select("key", F.col("value").alias(f"v{k}")), "key", "left")
     source = F.when(F.col("v3").isNotNull(), "cli").when(F.col("v2").isNotNull(), "overlay").when(F.col("v1").isNotNull(), "file").otherwise("default")
     return out.select("key", F.coalesce("v3", "v2", "v1", "v0").alias("value"), source.alias("source"))
 
 
+def config_layer(settings: DataFrame, namespaces: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """S12. The four configuration tables as one overlay of settings (key, value) for ``layered``; NULL settings are left out.
+
+    Keys are ``name`` for the global row, ``ns.<namespace>.name``, ``rel.<namespace>.<relation>.name`` and
+    ``col.<namespace>.<relation>.<column>.name``. Columns behind the key columns are settings, whatever they are called.
+    """
+
+    def settings_of(rows: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+        names = [c for c in rows.columns if c not in keys and c != "id"]
+        prefix = F.concat_ws(".", F.lit(kind), *keys) if keys else F.lit(None)
+        pairs = F.explode(F.array(*[F.struct(F.concat_ws(".", prefix, F.lit(c)).alias("key"), F.col(c).cast("string").alias("value")) for c in names]))
+        return rows.select(pairs.alias("s")).select("s.key", "s.value").filter("value IS NOT NULL")
+
+    own = [settings_of(settings, "", []), settings_of(namespaces, "ns", ["namespace"]), settings_of(tables, "rel", ["namespace", "relname"]), settings_of(columns, "col", ["namespace", "relname", "attname"])]
+    return own[0].unionByName(own[1]).unionByName(own[2]).unionByName(own[3])
+
+
 def opt_in_out(relations: DataFrame, choices: DataFrame, excluded: DataFrame) -> DataFrame:
     """G3. ``replicated``, ``excluded``, ``derived`` or ``parked`` for each relation or choice.
 
@@ -98,4 +126,4 @@ def opt_in_out(relations: DataFrame, choices: DataFrame, excluded: DataFrame) ->
 
 def drop_strategy(dropped: DataFrame, by_namespace: DataFrame, default: str = "retain") -> DataFrame:
     """D6. retain, warn or drop for each dropped table, its namespace's choice before the general one."""
-    return dropped.join(small(by_namespace), "rel_ns", "left").select("rel_ns", "rel_name", F.coalesce("strategy", F.lit(default)).alias("strategy"))
+    return dropped.join(by_namespace, "rel_ns", "left").select("rel_ns", "rel_name", F.coalesce("strategy", F.lit(default)).alias("strategy"))

@@ -1,4 +1,8 @@
-"""Schemas over log positions: as-of and interval joins, diffs, verdicts."""
+"""Schemas over log positions: as-of and interval joins, diffs, verdicts.
+
+Versions, intervals and routes are small beside the changes: Spark broadcasts such a side by its known size, or by its
+size at run time, and shuffles by the key where it is large.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
-
 
 def validity(log: DataFrame, keys: Sequence[str], order: str = "valid_from") -> DataFrame:
     """W1. ``valid_to``: where the next version of the key begins, NULL for the last."""
@@ -18,11 +20,10 @@ def validity(log: DataFrame, keys: Sequence[str], order: str = "valid_from") ->
 def asof(changes: DataFrame, log: DataFrame, keys: Sequence[str], at: str = "lsn", order: str = "valid_from") -> DataFrame:
     """J1, J2. Each change with the version of its key that is in force at ``at``; the version's columns are NULL before the first.
 
-    An equi join on the key with the interval as a further condition. Versions are few and broadcast if their number
-    says so; beyond that the join shuffles by the key.
+    An equi join on the key with the interval as a further condition.
     """
     spans = validity(log, keys, order)
-    right = small(spans.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in spans.columns if c not in keys]))
+    right = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in spans.columns if c not in keys])
     on = None
     for k in keys:
         same = F.col(k) == F.col(f"_{k}")
@@ -49,14 +50,28 @@ def asof_with_pending(changes: DataFrame, log: DataFrame, pending: DataFrame, ke
     return both.withColumn(value, F.coalesce("_own", value)).withColumn("is_pending", F.col("_own").isNotNull()).drop("_own")
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, on: Column, how: str = "left_semi") -> DataFrame:
-    """J3. Points inside [from_lsn, through_lsn) of an interval that ``on`` matches."""
-    return points.join(small(intervals), on & (F.col("lsn") >= F.col("from_lsn")) & (F.col("lsn") < F.col("through_lsn")), how)
+def with_inside(points: DataFrame, intervals: DataFrame, scopes: dict[str, str], name: str = "inside", at: str = "lsn") -> DataFrame:
+    """J3. ``name``: whether a point is inside [from_lsn, through_lsn) of an interval (scope, key, from_lsn, through_lsn).
+
+    scopes: the column of the points that an interval's key of that scope means. Each scope is an equi join by its key,
+    with the key's intervals as one short array, so points are neither doubled nor compared with all intervals.
+    """
+    inside = F.lit(False)
+    for scope, column in scopes.items():
+        own = intervals.filter(F.col("scope") == scope).groupBy(F.col("key").alias(f"_key_{scope}")).agg(F.collect_list(F.struct("from_lsn", "through_lsn")).alias(f"_in_{scope}"))
+        points = points.join(own, F.col(column) == F.col(f"_key_{scope}"), "left")
+        inside |= F.coalesce(F.exists(f"_in_{scope}", lambda i: (F.col(at) >= i.from_lsn) & (F.col(at) < i.through_lsn)), F.lit(False))
+    return points.withColumn(name, inside).drop(*(f"_{x}_{scope}" for scope in scopes for x in ("key", "in")))
 
 
-def overlapping(spans: DataFrame, intervals: DataFrame, on: Column, how: str = "left_semi") -> DataFrame:
-    """J4. Spans [first_lsn, last_lsn) that overlap an interval which ``on`` matches."""
-    return spans.join(small(intervals), on & (F.col("first_lsn") < F.col("through_lsn")) & (F.col("from_lsn") < F.col("last_lsn")), how)
+def with_overlap(spans: DataFrame, intervals: DataFrame, scopes: dict[str, str], name: str = "overlaps") -> DataFrame:
+    """J4. ``name``: whether [first_lsn, last_lsn) overlaps an interval of its key, as in ``with_inside``."""
+    overlaps = F.lit(False)
+    for scope, column in scopes.items():
+        own = intervals.filter(F.col("scope") == scope).groupBy(F.col("key").alias(f"_key_{scope}")).agg(F.collect_list(F.struct("from_lsn", "through_lsn")).alias(f"_in_{scope}"))
+        spans = spans.join(own, F.col(column) == F.col(f"_key_{scope}"), "left")
+        overlaps |= F.coalesce(F.exists(f"_in_{scope}", lambda i: (F.col("first_lsn") < i.through_lsn) & (i.from_lsn < F.col("last_lsn"))), F.lit(False))
+    return spans.withColumn(name, overlaps).drop(*(f"_{x}_{scope}" for scope in scopes for x in ("key", "in")))
 
 
 def schema_events(log: DataFrame) -> DataFrame:
@@ -68,23 +83,83 @@ def schema_events(log: DataFrame) -> DataFrame:
 
 
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D7. By (rel, attnum): added, dropped, renamed, retyped or renullable; columns that stay the same give no row."""
-    a = old.filter("NOT dropped").select("rel", "attnum", *[F.col(c).alias(f"old_{c}") for c in ("name", "type_oid", "not_null")])
-    b = new.filter("NOT dropped").select("rel", "attnum", *[F.col(c).alias(f"new_{c}") for c in ("name", "type_oid", "not_null")])
-    both = a.join(b, ["rel", "attnum"], "full_outer")
-    kind = F.when(F.col("old_name").isNull(), "added").when(F.col("new_name").isNull(), "dropped").when(F.col("old_name") != F.col("new_name"), "renamed").when(F.col("old_type_oid") != F.col("new_type_oid"), "retyped").when(F.col("old_not_null") != F.col("new_not_null"), "renullable")
-    return both.withColumn("change", kind).filter("change IS NOT NULL").select("rel", "attnum", "change", "old_name", "new_name")
+    """D7. A row for each change of a column (rel, attnum): added, dropped, renamed, retyped (type or typmod) or renullable.
+
+    Columns: ``rel, attnum, name, type_oid, typmod, not_null, dropped``. One column may be renamed and retyped at once;
+    columns that stay the same, or are dropped on both sides, give no row.
+    """
+    fields = ("name", "type_oid", "typmod", "not_null")
+    side = lambda df, x: df.filter("NOT dropped").select("rel", "attnum", *[F.col(c).alias(f"{x}_{c}") for c in fields])
+    both = side(old, "old").join(side(new, "new"), ["rel", "attnum"], "full_outer")
+    differs = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    kept = F.array_compact(F.array(F.when(differs("name"), "renamed"), F.when(differs("type_oid") | differs("typmod"), "retyped"), F.when(differs("not_null"), "renullable")))
+    changes = F.when(F.col("old_name").isNull(), F.array(F.lit("added"))).when(F.col("new_name").isNull(), F.array(F.lit("dropped"))).otherwise(kept)
+    return both.withColumn("change", F.explode(changes)).select("rel", "attnum", "change", "old_name", "new_name")
+
 
+def ddl_plan(diff: DataFrame) -> DataFrame:
+    """O7, D5. The statements of a diff in order: renames, then additions, then drops; a retyped column is ``rejected``, nullability follows no statement."""
+    rank = F.element_at(F.create_map(*[x for k, c in enumerate(("renamed", "added", "dropped", "retyped")) for x in (F.lit(c), F.lit(k))]), F.col("change"))
+    rows = diff.filter(F.col("change") != "renullable").withColumn("_rank", rank)
+    place = F.row_number().over(Window.partitionBy("rel").orderBy("_rank", "attnum"))
+    what = F.element_at(F.array(*map(F.lit, ("rename", "add", "drop", "rejected"))), F.col("_rank") + 1)
+    return rows.select("rel", place.alias("position"), what.alias("statement"), "attnum", "old_name", "new_name")
 
-def compatible_reader() -> Column:
-    """D8. Can rows written under (typlen, typalign, typbyval, typstorage) be read as the new ones? ``physical`` or ``benign`` if not equal.
 
-    Columns: ``old_`` and ``new_`` of each; a change of length, alignment or passing is physical, of the name, storage or
-    nullability benign.
+def derived_mapping(attributes: DataFrame, keys: DataFrame) -> DataFrame:
+    """P9. A relation's destination columns: all that are not dropped, in order, members of the key (rel, attnum) never nullable."""
+    own = attributes.filter("NOT dropped").join(keys.select("rel", "attnum", F.lit(True).alias("_key")), ["rel", "attnum"], "left")
+    place = F.row_number().over(Window.partitionBy("rel").orderBy("attnum"))
+    return own.select("rel", place.alias("position"), "attnum", "name", "type_oid", (~F.coalesce("_key", F.lit(False)) & ~F.col("not_null")).alias("nullable"))
+
+
+def folded_mapping(mapping: DataFrame, diff: DataFrame, attributes: DataFrame) -> DataFrame:
+    """P10. A mapping (rel, attnum, name) after a diff: a column is renamed only if it still has its old name; dropped ones go, added ones come behind."""
+    change = lambda kind, *c: diff.filter(F.col("change") == kind).select("rel", "attnum", *c)
+    kept = mapping.join(change("dropped"), ["rel", "attnum"], "left_anti").join(change("renamed", "old_name", "new_name"), ["rel", "attnum"], "left")
+    kept = kept.select("rel", "attnum", F.when(F.col("name") == F.col("old_name"), F.col("new_name")).otherwise(F.col("name")).alias("name"))
+    added = change("added").join(attributes.select("rel", "attnum", "name"), ["rel", "attnum"])
+    both = kept.withColumn("_added", F.lit(0)).unionByName(added.withColumn("_added", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("rel").orderBy("_added", "attnum"))
+    return both.select("rel", place.alias("position"), "attnum", "name")
+
+
+def compatible_reader(old: DataFrame, new: DataFrame, old_attributes: DataFrame, new_attributes: DataFrame) -> DataFrame:
+    """D8. Can the ``new`` descriptor of a relation read rows that were written under the ``old``?
+
+    A row a relation: ``rel``, ``verdict`` (equal, benign or physical) and ``why``, the first check that fails, physical ones
+    before benign ones. Relations: ``rel, node, kind, persistence, toast``; attributes, dropped ones included: ``rel, attnum,
+    dropped, type_oid, typmod, not_null, missing, len, align, byval, storage``. Names, nullability of old columns and the
+    identity do not matter for reading; a dropped column only has to keep its place and width.
     """
+    before = lambda df, x, skip=("rel",): df.select("rel", *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c not in skip])
     differs = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
-    physical = differs("len") | differs("align") | differs("byval")
-    return F.when(physical, "physical").when(differs("storage") | differs("not_null") | differs("name"), "benign").otherwise("equal")
+    relations = before(old, "old").join(before(new, "new"), "rel")
+    whole = (
+        F.when(differs("node"), "node rotated")
+        .when(differs("kind"), "kind change")
+        .when(differs("persistence"), "persistence change")
+        .when((F.col("old_toast") != 0) & differs("toast"), "large value relation change")
+    )
+    keys = ("rel", "attnum")
+    side = lambda df, x: df.select(*keys, F.lit(True).alias(f"{x}_here"), *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c not in keys])
+    slots = side(old_attributes, "old").join(side(new_attributes, "new"), list(keys), "full_outer")
+    appended = F.when(~F.col("new_dropped") & F.col("new_not_null") & F.col("new_missing").isNull(), "appended not-null column without missing value")
+    alive = F.when(differs("type_oid"), "type change").when(differs("missing"), "missing value change")
+    physical = (
+        F.when(F.col("new_here").isNull(), "columns are gone")
+        .when(F.col("old_here").isNull(), appended)
+        .when(differs("len") | differs("align") | differs("byval"), "width change")
+        .when(F.col("old_dropped") & ~F.col("new_dropped"), "dropped column is back")
+        .when(~F.col("new_dropped"), alive)
+    )
+    benign = F.when(F.col("old_here") & F.col("new_here") & ~F.col("new_dropped"), F.when(differs("typmod"), "typmod change").when(differs("storage"), "storage change"))
+    # the first of a relation: columns that are gone, then by attnum
+    place = F.when(F.col("new_here").isNull(), 0).otherwise(F.col("attnum"))
+    found = slots.groupBy("rel").agg(F.min_by(physical, F.when(physical.isNotNull(), place)).alias("physical"), F.min_by(benign, F.when(benign.isNotNull(), place)).alias("benign"))
+    both = relations.withColumn("whole", whole).join(found, "rel", "left")
+    worst = F.coalesce("whole", "physical")
+    return both.select("rel", F.when(worst.isNotNull(), "physical").when(F.col("benign").isNotNull(), "benign").otherwise("equal").alias("verdict"), F.coalesce(worst, "benign").alias("why"))
 
 
 def ambiguity(verdicts: DataFrame) -> DataFrame:
@@ -100,8 +175,21 @@ def collect_garbage(log: DataFrame, keys: Sequence[str], floor: int) -> DataFram
 
 
 def assemble_descriptors(classes: DataFrame, attributes: DataFrame, namespaces: DataFrame, keys: DataFrame) -> DataFrame:
-    """J9. One row a relation: its namespace, columns in order of attnum, and key attnums."""
-    columns = attributes.groupBy("oid").agg(F.sort_array(F.collect_list(F.struct("attnum", "name", "type_oid", "not_null"))).alias("attributes"))
+    """J9. One row a relation: its namespace, columns in order of attnum, and key attnums. A relation or column that is there twice fails the job."""
+    once = lambda n, what: F.when((n > 1) & (F.rand() + 1 >= 1), F.raise_error(F.concat(F.lit(f"{what} twice: "), F.col("oid").cast("string"))).cast("boolean")).otherwise(True)
+    columns = attributes.groupBy("oid").agg(F.sort_array(F.collect_list(F.struct("attnum", "name", "type_oid", "not_null"))).alias("attributes"), (F.count(F.lit(1)) - F.countDistinct("attnum") + 1).alias("_columns"))
     own_keys = keys.groupBy("oid").agg(F.sort_array(F.collect_list("attnum")).alias("key_attnums"))
-    rows = classes.join(namespaces, "ns_oid").join(columns, "oid").join(own_keys, "oid", "left")
+    single = classes.groupBy(*classes.columns).agg(F.count(F.lit(1)).alias("_times"))
+    of_oid = single.groupBy("oid").agg(F.sum("_times").alias("_classes"))
+    rows = single.drop("_times").join(of_oid, "oid").join(namespaces, "ns_oid").join(columns, "oid").join(own_keys, "oid", "left")
+    rows = rows.filter(once(F.col("_classes"), "relation") & once(F.col("_columns"), "column")).drop("_classes", "_columns")
     return rows.withColumn("key_attnums", F.coalesce("key_attnums", F.array().cast("array<int>")))
+
+
+def catalog_union(**catalogs: DataFrame) -> DataFrame:
+    """U7. Several catalogs as one table: ``catalog`` (its name), and all columns, NULL where a catalog lacks one."""
+    out = None
+    for name, rows in catalogs.items():
+        own = rows.withColumn("catalog", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

@@ -18,6 +18,12 @@ def tree_of(ends: DataFrame) -> DataFrame:
     return ends.select(F.explode("subxids").alias("subxid"), top.alias("top_xid"))
 
 
+def with_top_of_ends(ends: DataFrame) -> DataFrame:
+    """X5. Ends with ``top_xid``: the xid of a prepared transaction where one is named, else the end's own. Preparing ends nothing."""
+    top = F.coalesce("twophase_xid", "xid") if "twophase_xid" in ends.columns else F.col("xid")
+    return ends.filter(F.col("outcome").isin("commit", "abort")).withColumn("top_xid", top)
+
+
 def committed(changes: DataFrame, ends: DataFrame, aborted_subxids: DataFrame | None = None) -> DataFrame:
     """J8, X3, X4. Changes of committed transactions with ``commit_lsn`` and ``commit_ts``.
 
@@ -48,7 +54,7 @@ def open_changes(changes: DataFrame, ends: DataFrame) -> DataFrame:
 def merge_order(changes: DataFrame, events: DataFrame) -> DataFrame:
     """O1, O2. Rows and control events of each transaction in one order, as ``position`` from 1.
 
-    Both have ``top_xid, lsn, tuple_idx``; an event goes before rows of its lsn, rows of one lsn keep their tuple order.
+    A transaction is sorted by one task, with spills; its order is that of a log which one process wrote. Both have ``top_xid, lsn, tuple_idx``; an event goes before rows of its lsn, rows of one lsn keep their tuple order.
     """
     from pyspark.sql import Window
 
@@ -81,7 +87,15 @@ def foreign_rows(changes: DataFrame, tree: DataFrame) -> DataFrame:
     return changes.filter("xid != top_xid").join(listed, ["xid", "top_xid"], "left_anti")
 
 
+def truncates(done: DataFrame) -> DataFrame:
+    """B2. (rel, lsn) of TRUNCATEs (op T) among committed changes; one of an aborted transaction or savepoint is not there."""
+    return done.filter("op = 'T'").select("rel", "lsn")
+
+
 def truncated(changes: DataFrame, truncates: DataFrame) -> DataFrame:
-    """B2. Without rows of a relation that a later TRUNCATE of it (rel, lsn) emptied."""
+    """B2. Without rows of a relation that a later TRUNCATE of it (rel, lsn) emptied.
+
+    TRUNCATE locks its relation, so rows before it in the log are of transactions that ended before, or of its own.
+    """
     last = truncates.groupBy("rel").agg(F.max("lsn").alias("_cut"))
     return changes.join(last, "rel", "left").filter("_cut IS NULL OR lsn >= _cut").drop("_cut")

@@ -1,4 +1,4 @@
-"""Versioned rows: latest state per key, tombstones, replays."""
+"""Versioned rows: latest state per key, tombstones, replays."""
 
 from __future__ import annotations
 
@@ -43,6 +43,12 @@ def keyless_state(rows: DataFrame, *, merge_by_lsn: bool = False) -> DataFrame:
     return latest_versions(rows, ["lsn"], ["tuple_idx"]) if merge_by_lsn else rows.dropDuplicates(["lsn", "tuple_idx"])
 
 
+def previous_image(rows: DataFrame, keys: Sequence[str], value: str | Column, order: str, name: str = "prev") -> DataFrame:
+    """W8. The last ``value`` that is not NULL of the same key before each row, to fill in what a partial row lacks."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
+
+
 def union_loads(*loads: DataFrame) -> DataFrame:
     """U2. Baseline, replay and live rows together; a latest state over them takes the highest version of each key."""
     out = loads[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records as R
@@ -50,10 +50,14 @@ def subxid_top(spark: SparkSession, d: str) -> DataFrame:
     return X.with_top_xid(writers, X.tree_of(_literal_ends(spark))).select("lsn", "xid", "top_xid")
 
 
-@query("x5_prepared_commit", _TREE_SQL + "SELECT CAST(coalesce(twophase_xid, e.xid) AS BIGINT) AS top_xid, outcome, count(lsn) AS n FROM e LEFT JOIN (SELECT lsn, coalesce(top_xid, w.xid) AS t FROM w LEFT JOIN tree ON w.xid = subxid) c ON c.t = coalesce(twophase_xid, e.xid) GROUP BY ALL")
+@query("x5_prepared_commit", "SELECT top_xid, count(*) AS ends, sum(CASE WHEN outcome = 'commit' THEN 1 ELSE 0 END)::BIGINT AS commits FROM (SELECT o_custkey AS top_xid, CASE o_orderstatus WHEN 'F' THEN 'commit' WHEN 'P' THEN 'abort' END AS outcome FROM orders) WHERE outcome IS NOT NULL GROUP BY top_xid")
 def prepared_commit(spark: SparkSession, d: str) -> DataFrame:
-    done = _literal_ends(spark).select(F.coalesce("twophase_xid", "xid").alias("top_xid"), "outcome")
-    return done.join(subxid_top(spark, d), "top_xid", "left").groupBy("top_xid", "outcome").agg(F.count("lsn").alias("n"))
+    """Ends by the transaction they end: of every third, a prepared one, by the xid it names; a PREPARE itself ends nothing."""
+    o = fx.table(spark, d, "orders")
+    two_phase = F.col("o_orderkey") % 3 == 0
+    outcome = F.when(F.col("o_orderstatus") == "F", "commit").when(F.col("o_orderstatus") == "P", "abort").otherwise("prepare")
+    ends = o.select(F.when(two_phase, -F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("xid"), F.when(two_phase, F.col("o_custkey")).alias("twophase_xid"), outcome.alias("outcome"))
+    return X.with_top_of_ends(ends).groupBy("top_xid").agg(F.count(F.lit(1)).alias("ends"), F.count_if(F.col("outcome") == "commit").alias("commits"))
 
 
 @query("x7_foreign_xid_guard", _TREE_SQL + "SELECT lsn, xid, CAST(10 AS BIGINT) AS top_xid FROM w WHERE xid < 15 AND xid NOT IN (10, 11, 12)")
@@ -93,12 +97,12 @@ def largest_xact(spark: SparkSession, d: str) -> DataFrame:
     return X.largest_transaction(rows, F.octet_length("props"))
 
 
-_TRUNCATES = [(0, 5000), (0, 2000), (1, 7000), (3, 99_999_999)]
-
-
-@query("b2_truncate_cut", fx.COMMITTED + ", tr AS (SELECT CAST(rel AS BIGINT) AS rel, max(lsn) AS cut FROM " + fx.sql_values(_TRUNCATES, "rel, lsn") + " GROUP BY 1) SELECT done.rel, k, lsn FROM done LEFT JOIN tr ON tr.rel = done.rel WHERE cut IS NULL OR lsn >= cut")
+@query("b2_truncate_cut", fx.LOG.replace("CASE event_type", "CASE WHEN event_id % 211 = 100 THEN 'T' ELSE CASE event_type").replace("ELSE 'U' END AS op", "ELSE 'U' END END AS op") + fx.ENDS + ", done AS (SELECT l.* FROM log l JOIN ends e USING (top_xid) WHERE e.outcome = 'commit' AND l.xid % 6 <> 1), cut AS (SELECT rel, max(lsn) AS cut FROM done WHERE op = 'T' GROUP BY rel) SELECT done.rel, k, lsn FROM done LEFT JOIN cut USING (rel) WHERE op <> 'T' AND (cut IS NULL OR lsn >= cut)")
 def truncate_cut(spark: SparkSession, d: str) -> DataFrame:
-    return X.truncated(fx.committed(spark, d), fx.values(spark, _TRUNCATES, "rel long, lsn long")).select("rel", "k", "lsn")
+    """TRUNCATEs are changes of transactions: those of aborted ones and of savepoints rolled back empty nothing."""
+    rows = fx.log(spark, d).withColumn("op", F.when(F.expr("lsn div 16") % 211 == 100, "T").otherwise(F.col("op")))
+    done = X.committed(rows, fx.ends(rows), fx.aborted_subxids(rows))
+    return X.truncated(done.filter("op != 'T'"), X.truncates(done)).select("rel", "k", "lsn")
 
 
 @query("x1_open_changes", fx.LOG + "SELECT lsn, top_xid FROM log WHERE top_xid % 9 = 4")
@@ -208,8 +212,7 @@ def rekeyed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w8_previous_image", fx.COMMITTED + "SELECT lsn, k, last_value(CASE WHEN lsn % 48 = 0 THEN val END IGNORE NULLS) OVER (PARTITION BY k ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM done")
 def previous_image(spark: SparkSession, d: str) -> DataFrame:
-    before = Window.partitionBy("k").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    return fx.committed(spark, d).select("lsn", "k", F.last(F.when(F.col("lsn") % 48 == 0, F.col("val")), ignorenulls=True).over(before).alias("prev"))
+    return V.previous_image(fx.committed(spark, d), ["k"], F.when(F.col("lsn") % 48 == 0, F.col("val")), "lsn").select("lsn", "k", "prev")
 
 
 # --- record filters ---------------------------------------------------------
@@ -266,9 +269,14 @@ def boundaries(spark: SparkSession, d: str) -> DataFrame:
     return R.boundaries(rows, fx.ends(rows), told).withColumn("oids", F.array_join(F.transform("oids", lambda o: o.cast("string")), ","))
 
 
-@query("f9_skipped_ops", "SELECT count(*) AS n FROM events WHERE event_type IN ('signup', 'error', 'purchase')")
+_OPERATIONS = ("INSERT", "LOCK", "UPDATE", "INPLACE", "DELETE", "CONFIRM", "MULTI_INSERT")
+
+
+@query("f9_skipped_ops", "WITH o AS (SELECT event_id, ([" + ", ".join(f"'{x}'" for x in _OPERATIONS) + "])[event_id % 7 + 1] AS operation, (['Heap', 'Heap2', 'Btree'])[event_id // 7 % 3 + 1] AS rmgr FROM events) SELECT event_id, rmgr, operation FROM o WHERE (rmgr = 'Heap' AND operation NOT IN ('LOCK', 'INPLACE', 'CONFIRM')) OR (rmgr = 'Heap2' AND operation = 'MULTI_INSERT')")
 def skipped_ops(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "events").filter(F.col("event_type").isin("signup", "error", "purchase")).agg(F.count(F.lit(1)).alias("n"))
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    rows = fx.table(spark, d, "events").select("event_id", pick(_OPERATIONS, F.col("event_id")).alias("operation"), pick(("Heap", "Heap2", "Btree"), F.expr("event_id div 7")).alias("rmgr"))
+    return rows.filter(R.yields_rows())
 
 
 @query("f10_multi_insert_explode", "SELECT o_orderkey AS lsn, o_custkey AS xid, CAST(i AS INT) AS tuple_idx, o_orderkey * 10 + i AS tuple FROM (SELECT *, unnest(range(0, CAST(o_orderkey % 4 AS BIGINT))) AS i FROM orders)")
@@ -288,10 +296,11 @@ def config_split(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("rel").agg(F.sum("c").alias("config_rows"), F.sum("o").alias("data_rows"))
 
 
-@query("f15_kind_eligibility", "SELECT p_partkey, p_size FROM part WHERE p_partkey >= 100 AND p_type IS NOT NULL AND p_size % 4 IN (0, 1)")
+@query("f15_kind_eligibility", "WITH r AS (SELECT p_partkey, p_partkey * 100 AS oid, (['r', 't', 'i', 'v', 'p', 'm'])[p_size % 6 + 1] AS kind FROM part) SELECT p_partkey, kind, kind IN ('r', 'p') AS can_truncate FROM r WHERE oid >= 16384 AND kind IN ('r', 'p', 'm', 't')")
 def kind_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.element_at(F.array(*map(F.lit, "rtiv")), F.col("p_size") % 4 + 1)
-    return fx.table(spark, d, "part").filter((F.col("p_partkey") >= 100) & F.col("p_type").isNotNull() & kinds.isin("r", "p", "m", "t")).select("p_partkey", "p_size")
+    kind = F.element_at(F.array(*map(F.lit, "rtivpm")), F.col("p_size") % 6 + 1)
+    rows = fx.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 100).alias("oid"), kind.alias("kind"))
+    return rows.filter(R.eligible()).select("p_partkey", "kind", R.eligible(truncate=True).alias("can_truncate"))
 
 
 @query("f19_catalog_skew", fx.CATALOG + "SELECT lsn, rel FROM cat WHERE lsn BETWEEN 4000 AND 9000 AND is_catalog AND rel IN (1, 2)")

@@ -20,39 +20,57 @@ _STATUS_SQL = f"""st AS (SELECT x.xid, CASE WHEN x.xid IN (1, 2) THEN 'Committed
   WHEN o_orderstatus = 'F' THEN 'Committed' WHEN o_orderstatus = 'P' THEN 'Aborted' ELSE 'InProgress' END AS status FROM (SELECT DISTINCT l_orderkey AS xid FROM lineitem) x LEFT JOIN orders ON o_orderkey = x.xid AND o_orderkey % 3 <> 0)"""
 
 
-def _statuses(spark: SparkSession, d: str) -> DataFrame:
-    xids = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("xid")).distinct()
+def _log_and_patch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The base status log, and what was patched over it."""
     log = fx.table(spark, d, "orders").filter("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("xid"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("bits"))
-    patch = xids.filter("xid % 97 = 0 OR xid % 89 = 0").select("xid", (F.col("xid") % 97 == 0).alias("committed"))
-    return B.xid_status(xids, log, patch, _TAIL, _OLDEST)
+    xids = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("xid")).distinct()
+    return log, xids.filter("xid % 97 = 0 OR xid % 89 = 0").select("xid", (F.col("xid") % 97 == 0).alias("committed"))
 
 
 @query("j11_xid_status", f"WITH {_STATUS_SQL} SELECT xid, status FROM st")
 def xid_status(spark: SparkSession, d: str) -> DataFrame:
-    return _statuses(spark, d)
+    xids = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("xid")).distinct()
+    return B.xid_status(xids, *_log_and_patch(spark, d), _TAIL, _OLDEST)
 
 
 _MASKS = (0x0000, 0x0100, 0x0200, 0x0300, 0x0400, 0x0800, 0x0080, 0x0040, 0x0050, 0x1000, 0x1040, 0x1080, 0x0500, 0x0900, 0x1100, 0x0010)
-_TUPLES_SQL = f"tu AS (SELECT l_orderkey AS xmin, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_orderkey + 1 END AS xmax, ([{', '.join(map(str, _MASKS))}])[l_partkey % 16 + 1] AS m, (['Covered', 'LockOnly', 'Unresolvable', NULL, 'Committed', 'Aborted', 'InProgress', 'Unknown'])[l_suppkey % 8 + 1] AS u, count(*) AS n FROM lineitem GROUP BY ALL)"
+_TUPLES_SQL = f"tu AS (SELECT l_orderkey AS xmin, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_orderkey + 1 END AS xmax, ([{', '.join(map(str, _MASKS))}])[l_partkey % 16 + 1] AS m, (['Covered', 'LockOnly', 'Unresolvable', NULL, 'Committed', 'Aborted', 'InProgress', 'Unknown'])[l_suppkey % 8 + 1] AS u, l_partkey % 29 <> 3 AS has_log FROM lineitem)"
 _VISIBLE_SQL = """CASE WHEN NOT (m & 768 = 768 OR (xmin > 0 AND xmin < 3)) AND m & 512 <> 0 THEN 'Skip'
- WHEN NOT (m & 768 = 768 OR (xmin > 0 AND xmin < 3)) AND m & 256 = 0 AND a.status IN ('Aborted', 'InProgress') THEN 'Skip'
+ WHEN NOT (m & 768 = 768 OR (xmin > 0 AND xmin < 3)) AND m & 256 = 0 AND NOT has_log THEN 'Defer'
+ WHEN NOT (m & 768 = 768 OR (xmin > 0 AND xmin < 3)) AND m & 256 = 0 AND a IN ('Aborted', 'InProgress') THEN 'Skip'
  WHEN xmax = 0 OR m & 2048 <> 0 OR m & 128 <> 0 OR m & 4176 = 64 THEN 'Emit'
- WHEN m & 4096 <> 0 THEN CASE WHEN u IS NULL OR u = 'Unresolvable' THEN 'Unresolvable' WHEN u IN ('Covered', 'LockOnly', 'Aborted', 'InProgress') THEN 'Emit' ELSE 'Skip' END
- WHEN m & 1024 <> 0 THEN 'Skip' WHEN b.status IN ('Aborted', 'InProgress') THEN 'Emit' ELSE 'Skip' END"""
+ WHEN m & 4096 <> 0 THEN CASE WHEN NOT has_log THEN 'Defer' WHEN u IS NULL OR u = 'Unresolvable' THEN 'Unresolvable' WHEN u IN ('Committed', 'Unknown') THEN 'Skip' ELSE 'Emit' END
+ WHEN m & 1024 <> 0 THEN 'Skip' WHEN NOT has_log THEN 'Defer' WHEN b IN ('Committed', 'Unknown') THEN 'Skip' ELSE 'Emit' END"""
+_STATUS_OF = f"CASE WHEN {{x}} IN (1, 2) THEN 'Committed' WHEN {{x}} % 97 = 0 AND {{x}} IN (SELECT l_orderkey FROM lineitem) THEN 'Committed' WHEN {{x}} % 89 = 0 AND {{x}} IN (SELECT l_orderkey FROM lineitem) THEN 'Aborted' WHEN {{x}} >= {_TAIL} THEN 'InProgress' WHEN {{x}} < {_OLDEST} THEN 'Unknown' WHEN {{o}}.o_orderstatus = 'F' THEN 'Committed' WHEN {{o}}.o_orderstatus = 'P' THEN 'Aborted' ELSE 'InProgress' END"
+_JUDGED_SQL = f"WITH {_TUPLES_SQL}, js AS (SELECT tu.*, {_STATUS_OF.format(x='xmin', o='o1')} AS a, {_STATUS_OF.format(x='xmax', o='o2')} AS b FROM tu LEFT JOIN orders o1 ON o1.o_orderkey = xmin AND xmin % 3 <> 0 LEFT JOIN orders o2 ON o2.o_orderkey = xmax AND xmax % 3 <> 0) "
 
 
-@query("f14_visibility", f"WITH {_STATUS_SQL}, {_TUPLES_SQL} SELECT {_VISIBLE_SQL} AS verdict, CAST(sum(n) AS BIGINT) AS n FROM tu LEFT JOIN st a ON a.xid = xmin LEFT JOIN st b ON b.xid = xmax GROUP BY 1")
-def visibility(spark: SparkSession, d: str) -> DataFrame:
+def _tuples(spark: SparkSession, d: str) -> DataFrame:
+    """Tuples of a page-level backup with the outcomes of their writers; every 29th was read without a transaction log."""
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     rows = fx.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("xmin"),
         F.when(F.col("l_linenumber") % 3 == 0, 0).otherwise(F.col("l_orderkey") + 1).alias("xmax"),
         pick(_MASKS, F.col("l_partkey") % 16).alias("infomask"),
         pick(("Covered", "LockOnly", "Unresolvable", None, "Committed", "Aborted", "InProgress", "Unknown"), F.col("l_suppkey") % 8).alias("updater_status"),
+        (F.col("l_partkey") % 29 != 3).alias("has_log"),
     )
-    st = _statuses(spark, d)
-    rows = rows.join(st.select(F.col("xid").alias("xmin"), F.col("status").alias("xmin_status")), "xmin", "left").join(st.select(F.col("xid").alias("xmax"), F.col("status").alias("xmax_status")), "xmax", "left")
-    return rows.groupBy(B.visibility().alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    log, patch = _log_and_patch(spark, d)
+    for xid in ("xmin", "xmax"):
+        rows = B.xid_status(rows, log, patch, _TAIL, _OLDEST, xid, f"{xid}_status")
+    return rows
+
+
+@query("f14_visibility", _JUDGED_SQL + f"SELECT {_VISIBLE_SQL} AS verdict, count(*) AS n FROM js GROUP BY 1")
+def visibility(spark: SparkSession, d: str) -> DataFrame:
+    return _tuples(spark, d).groupBy(B.visibility(has_log=F.col("has_log")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l3_gated_load", _JUDGED_SQL + f"SELECT xmin, CAST(7000 AS BIGINT) AS _lsn FROM (SELECT xmin, {_VISIBLE_SQL} AS verdict FROM js WHERE has_log AND coalesce(u, 'Unresolvable') <> 'Unresolvable') WHERE verdict = 'Emit'")
+def gated_load(spark: SparkSession, d: str) -> DataFrame:
+    """The visible tuples of a backup that has its log and its multixacts, as rows at the opt-in."""
+    rows = _tuples(spark, d).filter("has_log AND coalesce(updater_status, 'Unresolvable') != 'Unresolvable'")
+    return B.gated_load(rows, 7000).select("xmin", "_lsn")
 
 
 @query("j12_multixact_updater", "WITH o AS (SELECT DISTINCT l_orderkey AS mxid FROM lineitem), off AS (SELECT a.mxid, a.mxid * 3 AS start, b.mxid * 3 AS stop FROM o a JOIN o b ON b.mxid = a.mxid + 1), m AS (SELECT event_id AS pos, user_id AS xid, event_id % 7 AS kind FROM events) SELECT mxid, arg_min(xid, pos) FILTER (WHERE kind > 3) AS updater FROM off LEFT JOIN m ON pos >= start AND pos < stop GROUP BY mxid")
@@ -77,10 +95,10 @@ _L4_SQL = fx.VERSIONS + ", base AS (SELECT c_custkey AS k, c_acctbal AS val, CAS
 
 @query("l4_object_store_load", _L4_SQL + "SELECT k, val, _lsn FROM r WHERE rn = 1 AND NOT _is_deleted")
 def object_store_load(spark: SparkSession, d: str) -> DataFrame:
-    base = B.baseline(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("val")), 3000)
-    gap = B.gap_window(fx.committed(spark, d), 3000, 9000).select("k", "val", F.col("lsn").alias("_lsn"), (F.col("op") == "D").alias("_is_deleted"))
-    live = B.copy_back(fx.versions(spark, d), 9000)
-    return V.latest_state(V.union_loads(base, gap, live), ["k"], ["_lsn", "val"]).select("k", "val", "_lsn")
+    base = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("val"))
+    done = fx.committed(spark, d).select("k", "val", F.col("lsn").alias("_lsn"), (F.col("op") == "D").alias("_is_deleted"), "commit_lsn")
+    rows = B.object_store_load(base, done, fx.versions(spark, d), redo=3000, opt_in=9000)
+    return V.latest_state(rows, ["k"], ["_lsn", "val"]).select("k", "val", "_lsn")
 
 
 @query("l1_bootstrap", "SELECT c_custkey AS k, CAST(100 AS BIGINT) AS _lsn, CAST(0 AS BIGINT) AS _xid, CAST(0 AS BIGINT) AS _commit_ts, FALSE AS _is_deleted FROM customer")
@@ -88,17 +106,23 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return B.baseline(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), 100)
 
 
-@query("j17_column_intersection", "SELECT * FROM (VALUES ('c_custkey', 0), ('c_name', 1), ('c_acctbal', 2)) AS t(name, position)")
+_STAGED = "SELECT c_acctbal, c_name, c_custkey, 1 AS other FROM customer"
+
+
+@query("j17_column_intersection", f"SELECT column_name AS name, CAST(row_number() OVER (ORDER BY rn) - 1 AS INT) AS position FROM (SELECT column_name, row_number() OVER () AS rn FROM (DESCRIBE customer)) WHERE column_name IN (SELECT column_name FROM (DESCRIBE {_STAGED}))")
 def column_intersection(spark: SparkSession, d: str) -> DataFrame:
     c = fx.table(spark, d, "customer")
     names = B.shared_columns(c, c.select("c_acctbal", "c_name", "c_custkey", F.lit(1).alias("other")))
     return fx.values(spark, [(n, k) for k, n in enumerate(names)], "name string, position int")
 
 
-@query("j18_fingerprint", "SELECT * FROM (VALUES ('same', TRUE), ('reordered', FALSE), ('retyped', FALSE)) AS t(shape, equal)")
+_SHAPES = {"same": "SELECT * FROM nation WHERE n_nationkey < 3", "reordered": "SELECT n_regionkey, n_name, n_nationkey FROM nation", "retyped": "SELECT n_nationkey, n_nationkey AS n_name, n_regionkey FROM nation"}
+
+
+@query("j18_fingerprint", " UNION ALL ".join(f"SELECT '{k}' AS shape, (SELECT string_agg(column_name || ' ' || column_type, ',') FROM (DESCRIBE {sql})) = (SELECT string_agg(column_name || ' ' || column_type, ',') FROM (DESCRIBE nation)) AS equal" for k, sql in _SHAPES.items()))
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     n = fx.table(spark, d, "nation")
-    others = {"same": n.filter("false"), "reordered": n.select(*reversed(n.columns)), "retyped": n.withColumn("n_name", F.col("n_nationkey"))}
+    others = {"same": n.filter("n_nationkey < 3"), "reordered": n.select(*reversed(n.columns)), "retyped": n.withColumn("n_name", F.col("n_nationkey"))}
     return fx.values(spark, [(k, B.same_shape(n, o)) for k, o in others.items()], "shape string, equal boolean")
 
 
@@ -122,14 +146,33 @@ def catalog_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _acks(spark: SparkSession, d: str) -> DataFrame:
-    return fx.ends(fx.log(spark, d)).select(F.col("top_xid").alias("seq"), (F.col("top_xid") != 300).alias("done"), (F.col("top_xid") % 4 != 0).alias("publish"), "commit_lsn")
+    """Seq 31 never came; seq 300 is there, but not done."""
+    ends = fx.ends(fx.log(spark, d)).filter("top_xid != 31")
+    return ends.select(F.col("top_xid").alias("seq"), (F.col("top_xid") != 300).alias("done"), (F.col("top_xid") % 4 != 0).alias("publish"), "commit_lsn")
+
 
+_DENSE = fx.LOG + fx.ENDS + ", ak AS (SELECT * FROM ends WHERE {here}), pre AS (SELECT *, row_number() OVER (ORDER BY top_xid) - 1 + (SELECT min(top_xid) FROM ak) AS dense FROM ak WHERE top_xid <> 300) SELECT max(commit_lsn) AS watermark FROM pre WHERE top_xid = dense AND top_xid % 4 <> 0"
 
-@query("a7_watermark", fx.LOG + fx.ENDS + "SELECT max(commit_lsn) AS watermark FROM ends WHERE top_xid < 300 AND top_xid % 4 <> 0")
+
+@query("a7_watermark", _DENSE.format(here="top_xid <> 31"))
 def watermark(spark: SparkSession, d: str) -> DataFrame:
+    """A gap in the sequence ends the prefix, like a seq that is not done."""
     return P.watermark(_acks(spark, d))
 
 
+@query("w5_done_prefix", _DENSE.format(here="top_xid > 31"))
+def done_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """From seq 32 on: the prefix ends at the first that is not done."""
+    return P.watermark(_acks(spark, d).filter("seq > 31"), first=32)
+
+
+@query("t1_idle_watermark", fx.LOG + fx.ENDS + "SELECT CAST(5000000000 AS BIGINT) AS watermark FROM ends HAVING count(*) > 0")
+def idle_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """All is done, so a position behind the last transaction counts."""
+    acks = fx.ends(fx.log(spark, d)).select(F.col("top_xid").alias("seq"), F.lit(True).alias("done"), F.lit(True).alias("publish"), "commit_lsn")
+    return P.watermark(acks, trailing=5_000_000_000)
+
+
 @query("a8_floor", fx.LOG + "SELECT CAST(least(least(min(lsn) * 5000000, 800000000) - least(min(lsn) * 5000000, 800000000) % 16777216, 790000000) AS BIGINT) AS floor FROM log WHERE top_xid > 2")
 def floor(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.log(spark, d).filter("top_xid > 2").select((F.col("lsn") * 5_000_000).alias("first_lsn"))
@@ -141,20 +184,27 @@ def row_sealing(spark: SparkSession, d: str) -> DataFrame:
     return P.seal_by_rows(fx.log(spark, d), "rel", "lsn", 100).select("rel", "lsn", "batch")
 
 
-@query("a10_byte_sealing", "SELECT event_type, event_id AS lsn, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 3 AS batch FROM events")
+_GREEDY = """WITH RECURSIVE s AS (SELECT event_type, event_id, strlen(props) * (event_id % 7 + 1) AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+g AS (SELECT event_type, event_id, rn, CAST(0 AS BIGINT) AS batch, size AS held FROM s WHERE rn = 1
+  UNION ALL SELECT s.event_type, s.event_id, s.rn, g.batch + CASE WHEN g.held >= 500 THEN 1 ELSE 0 END, s.size + CASE WHEN g.held >= 500 THEN 0 ELSE g.held END FROM g JOIN s ON s.event_type = g.event_type AND s.rn = g.rn + 1)
+SELECT event_type, event_id AS lsn, batch FROM g"""
+
+
+@query("a10_byte_sealing", _GREEDY)
 def byte_sealing(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.table(spark, d, "events").select("event_type", F.col("event_id").alias("lsn"), F.lit(40).alias("size"))
-    return P.seal_by_bytes(rows, "event_type", "lsn", "size", 120).select("event_type", "lsn", "batch")
+    """Sizes vary, so batches overshoot the budget by as much as their last row brings."""
+    rows = fx.table(spark, d, "events").select("event_type", F.col("event_id").alias("lsn"), (F.octet_length("props") * (F.col("event_id") % 7 + 1)).alias("size"))
+    return P.seal_by_bytes(rows, "event_type", "lsn", "size", 500).select("event_type", "lsn", "batch")
 
 
 @query("a11_seq_counts", fx.COMMITTED + "SELECT top_xid AS seq, count(*) AS n FROM done GROUP BY 1")
 def seq_counts(spark: SparkSession, d: str) -> DataFrame:
-    return fx.committed(spark, d).groupBy(F.col("top_xid").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    return P.counts_by(fx.committed(spark, d), F.col("top_xid").alias("seq"))
 
 
 @query("a12_op_counts", fx.LOG + "SELECT op, count(*) AS n FROM log GROUP BY op")
 def op_counts(spark: SparkSession, d: str) -> DataFrame:
-    return fx.log(spark, d).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    return P.counts_by(fx.log(spark, d), "op")
 
 
 _SAMPLES = fx.LOG + ", sm AS (SELECT rel, ts_us // 1000000 AS at_s, max(lsn) AS total FROM log GROUP BY ALL) "
@@ -185,25 +235,30 @@ def checksums(spark: SparkSession, d: str) -> DataFrame:
     return P.checksums(fx.table(spark, d, "orders"), "o_custkey", "o_orderkey", F.concat("o_orderstatus", "o_orderpriority"), F.col("o_orderkey"))
 
 
+@query("a16_parity", "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, CAST(sum(CAST(CAST('0x' || substr(md5(o_orderkey || '|' || o_orderstatus), 1, 15) AS BIGINT) AS DECIMAL(38, 0))) AS VARCHAR) AS digest FROM orders GROUP BY 1")
+def parity(spark: SparkSession, d: str) -> DataFrame:
+    """Five groups hold all rows, and none is in one place."""
+    return P.parity(fx.table(spark, d, "orders"), "o_orderpriority", "o_orderkey", F.col("o_orderstatus"), F.col("o_orderkey")).withColumn("digest", F.col("digest").cast("string"))
+
+
 @query("a17_rows_per_2s", fx.COMMITTED + "SELECT commit_ts // 2000000 AS bucket, count(*) AS n FROM done GROUP BY 1")
 def rows_per_2s(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.committed(spark, d).select(F.window(F.timestamp_micros("commit_ts"), "2 seconds").alias("w"))
-    return rows.groupBy(F.expr("unix_micros(w.start) div 2000000").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return P.rows_per_interval(fx.committed(spark, d), "commit_ts")
 
 
 @query("a18_distinct_positions", fx.CHUNKS + "SELECT relid, count(DISTINCT (blkno, offnum)) AS positions FROM ch GROUP BY relid")
 def distinct_positions(spark: SparkSession, d: str) -> DataFrame:
-    return fx.chunks(spark, d).groupBy("relid").agg(F.countDistinct("blkno", "offnum").alias("positions"))
+    return P.distinct_positions(fx.chunks(spark, d))
 
 
 @query("a19_pending_by_mode", "SELECT o_orderpriority AS mode, count(*) AS pending FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 def pending_by_mode(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "orders").filter("o_orderstatus != 'F'").groupBy(F.col("o_orderpriority").alias("mode")).agg(F.count(F.lit(1)).alias("pending"))
+    return P.counts_by(fx.table(spark, d, "orders").filter("o_orderstatus != 'F'"), F.col("o_orderpriority").alias("mode"), name="pending")
 
 
 @query("o6_capped_list", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
 def capped_list(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "events").orderBy(F.desc("value"), "event_id").select("event_id", "value").limit(100)
+    return P.capped(fx.table(spark, d, "events").select("event_id", "value"), [F.desc("value"), F.asc("event_id")], 100)
 
 
 @query("f18_retention", "SELECT event_id AS segment, event_id * 16777216 + 16777216 AS end_lsn FROM events WHERE event_id * 16777216 + 16777216 <= least(9000000000 - 1000000000, 8500000000)")
@@ -220,23 +275,29 @@ def resume_choice(spark: SparkSession, d: str) -> DataFrame:
 
 # --- scalar forms -----------------------------------------------------------
 
-_INTERVALS = [(0, 0, 0), (14, 3, 14_706_700_000), (-14, -1, -1_000_000), (12, 0, 0), (1, 1, 500_000), (0, 0, 360_000_000_000_000), (-1, 2, 3_600_000_000), (25, 0, 1)]
-_INTERVAL_TEXTS = ["00:00:00", "1 year 2 mons 3 days 04:05:06.7", "-1 year -2 mons -1 day -00:00:01", "1 year", "1 mon 1 day 00:00:00.5", "100000:00:00", "-1 mon 2 days 01:00:00", "2 years 1 mon 00:00:00.000001"]
+_MONTHS, _DAYS, _MICROS = "event_id % 61 - 30", "event_id % 9 - 4", "(event_id % 17 - 8) * 4207099990"
+
+
+def _part_sql(n: str, one: str) -> str:
+    return f"CASE WHEN {n} <> 0 THEN {n} || CASE WHEN abs({n}) = 1 THEN ' {one}' ELSE ' {one}s' END END"
+
+
+_CLOCK_SQL = "CASE WHEN us < 0 THEN '-' ELSE '' END || lpad(CAST(abs(us) // 3600000000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(us) // 60000000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(us) // 1000000 % 60 AS VARCHAR), 2, '0') || CASE WHEN us % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(abs(us) % 1000000 AS VARCHAR), 6, '0'), '0') END"
 
 
-@query("n4_interval_text", f"SELECT id, text FROM {fx.sql_values([(k, t) for k, t in enumerate(_INTERVAL_TEXTS)], 'id, text')}")
+@query("n4_interval_text", f"WITH i AS (SELECT event_id, sign({_MONTHS}) * (abs({_MONTHS}) // 12) AS y, sign({_MONTHS}) * (abs({_MONTHS}) % 12) AS mo, {_DAYS} AS d, {_MICROS} AS us FROM events) SELECT event_id, CASE WHEN y = 0 AND mo = 0 AND d = 0 AND us = 0 THEN '00:00:00' ELSE concat_ws(' ', {_part_sql('y', 'year')}, {_part_sql('mo', 'mon')}, {_part_sql('d', 'day')}, CASE WHEN us <> 0 THEN {_CLOCK_SQL} END) END AS text FROM i")
 def interval_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.values(spark, [(k, *r) for k, r in enumerate(_INTERVALS)], "id int, months int, days int, micros long")
-    return rows.select("id", N.interval_text(F.col("months"), F.col("days"), F.col("micros")).alias("text"))
+    rows = fx.table(spark, d, "events").selectExpr("event_id", f"CAST({_MONTHS} AS INT) AS months", f"CAST({_DAYS} AS INT) AS days", f"{_MICROS} AS micros")
+    return rows.select("event_id", N.interval_text(F.col("months"), F.col("days"), F.col("micros")).alias("text"))
 
 
-_TIMETZ = [(45_296_500_000, -19_800, "12:34:56.5+05:30"), (86_399_999_999, 28_800, "23:59:59.999999-08"), (0, 0, "00:00:00+00"), (3_600_000_000, -3_661, "01:00:00+01:01:01"), (1, 59, "00:00:00.000001-00:00:59")]
+_WEST = "(event_id % 97 - 48) * 911"
 
 
-@query("n5_timetz_text", f"SELECT id, text FROM {fx.sql_values([(k, t) for k, (_, _, t) in enumerate(_TIMETZ)], 'id, text')}")
+@query("n5_timetz_text", f"WITH t AS (SELECT event_id, event_id * 863900001 % 86400000000 AS us, {_WEST} AS w FROM events) SELECT event_id, {_CLOCK_SQL} || CASE WHEN w > 0 THEN '-' ELSE '+' END || lpad(CAST(abs(w) // 3600 AS VARCHAR), 2, '0') || CASE WHEN abs(w) % 3600 <> 0 THEN ':' || lpad(CAST(abs(w) // 60 % 60 AS VARCHAR), 2, '0') || CASE WHEN abs(w) % 60 <> 0 THEN ':' || lpad(CAST(abs(w) % 60 AS VARCHAR), 2, '0') ELSE '' END ELSE '' END AS text FROM t")
 def timetz_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.values(spark, [(k, *r[:2]) for k, r in enumerate(_TIMETZ)], "id int, micros long, west int")
-    return rows.select("id", N.timetz_text(F.col("micros"), F.col("west")).alias("text"))
+    rows = fx.table(spark, d, "events").selectExpr("event_id", "event_id * 863900001 % 86400000000 AS micros", f"CAST({_WEST} AS INT) AS west")
+    return rows.select("event_id", N.timetz_text(F.col("micros"), F.col("west")).alias("text"))
 
 
 @query("n6_uuid_text", "SELECT event_id, CAST(CAST(md5(CAST(event_id AS VARCHAR)) AS UUID) AS VARCHAR) AS uuid FROM events")
@@ -251,9 +312,10 @@ def epoch_shift(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", N.from_source_date(F.col("days")).cast("string").alias("day"), N.from_source_micros(F.col("micros")).alias("us"))
 
 
-@query("n8_time_text", "SELECT event_id, strftime(TIMESTAMP '2000-01-01' + to_microseconds(event_id * 8639000), '%H:%M:%S') || CASE WHEN event_id * 8639000 % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(event_id * 8639000 % 1000000 AS VARCHAR), 6, '0'), '0') END AS text FROM events WHERE event_id < 10000")
+@query("n8_time_text", f"WITH t AS (SELECT event_id, event_id * 8639000 % 86400000000 AS us FROM events) SELECT event_id, {_CLOCK_SQL} AS text FROM t")
 def time_text(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "events").filter("event_id < 10000").select("event_id", N.time_text(F.col("event_id") * 8_639_000).alias("text"))
+    """Times of day, over all events."""
+    return fx.table(spark, d, "events").select("event_id", N.time_text(F.col("event_id") * 8_639_000 % 86_400_000_000).alias("text"))
 
 
 @query("n12_valid_text", "SELECT doc_id, TRUE AS is_text FROM documents UNION ALL SELECT -1, FALSE")
@@ -274,23 +336,27 @@ def lsn_text(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "events").select("event_id", N.lsn_text(lsn).alias("text"), N.parse_lsn(N.lsn_text(lsn)).alias("parsed"), N.align_down(lsn).alias("aligned"))
 
 
-_TYPMODS = [(-1, None, None, "String"), (655366, 10, 2, "Decimal(10, 2)"), (3276806, 50, 2, "Decimal(50, 2)"), (5898248, 90, 4, "String"), (2490376, 38, 4, "Decimal(38, 4)"), (329730, 5, -2, "String"), (262156, 4, 8, "String")]
+_P, _S = "p_partkey % 90", "p_partkey // 90 % 80 - 5"
 
 
-@query("n18_typmod", f"SELECT typmod, CAST(p AS INT) AS p, CAST(s AS INT) AS s, kind FROM {fx.sql_values(_TYPMODS, 'typmod, p, s, kind')}")
+@query("n18_typmod", f"WITH t AS (SELECT p_partkey, {_P} AS p, {_S} AS s, p_partkey % 13 = 0 AS bare FROM part) SELECT p_partkey, CASE WHEN NOT bare THEN p END AS p, CASE WHEN NOT bare THEN s END AS s, CASE WHEN NOT bare AND p BETWEEN 1 AND 76 AND s BETWEEN 0 AND p THEN 'Decimal(' || p || ', ' || s || ')' ELSE 'String' END AS kind FROM t")
 def typmod(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.values(spark, [r[:1] for r in _TYPMODS], "typmod int")
+    """Precision and scale packed into one number; a scale may be negative, and every 13th has none."""
+    own = F.shiftleft(F.expr("p_partkey % 90"), 16) + F.expr("p_partkey div 90 % 80 - 5").bitwiseAND(F.lit(0x7FF)) + 4
+    rows = fx.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, -1).otherwise(own).alias("typmod"))
     p, s = N.numeric_typmod(F.col("typmod"))
-    return rows.select("typmod", p.cast("int").alias("p"), s.cast("int").alias("s"), N.decimal_type(F.col("typmod")).alias("kind"))
+    return rows.select("p_partkey", p.cast("long").alias("p"), s.cast("long").alias("s"), N.decimal_type(F.col("typmod")).alias("kind"))
 
 
-_NUMBERS = [("1.239", "1.23"), ("-1.239", "-1.23"), ("12345678.999", "12345678.99"), ("123456789", None), ("0.001", "0.00"), ("7", "7.00"), ("NaN", None), ("-0.5", "-0.50")]
+_NUMBER = "CASE o_orderkey % 5 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END || {whole} || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '.' || lpad(CAST(o_custkey % 1000 AS {text}), 3, '0') END"
 
 
-@query("n2_decimal_truncate", f"SELECT * FROM {fx.sql_values(_NUMBERS, 'text, kept')}")
+@query("n2_decimal_truncate", "WITH t AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS whole, CASE WHEN o_orderkey % 4 = 0 THEN '000' ELSE lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') END AS frac, CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE '' END AS sgn FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey = 0 THEN '0.00' WHEN length(whole) <= 4 THEN sgn || whole || '.' || substr(frac, 1, 2) END AS kept, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE sgn || ltrim(whole || repeat('7', 45), '0') || '.' || frac || '00' END AS wide FROM t")
 def decimal_truncate(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.values(spark, [r[:1] for r in _NUMBERS], "text string")
-    return rows.select("text", N.truncate_decimal(F.col("text"), 10, 2).cast("string").alias("kept"))
+    """Digits behind the scale are cut off, what is too large is NULL, and numbers beyond 38 digits stay text."""
+    text = lambda whole: F.when(F.col("o_orderkey") % 50 == 7, F.element_at(F.array(F.lit("NaN"), F.lit("1e5"), F.lit("")), (F.col("o_orderkey") % 3 + 1).cast("int"))).otherwise(F.expr(_NUMBER.format(whole=whole, text="STRING")))
+    short, wide = text("CAST(o_orderkey AS STRING)"), text("CAST(o_orderkey AS STRING) || repeat('7', 45)")
+    return fx.table(spark, d, "orders").select("o_orderkey", N.truncate_decimal(short, 6, 2).cast("string").alias("kept"), N.truncate_decimal(wide, 76, 5).alias("wide"))
 
 
 @query("n17_value_size", "SELECT event_id, CAST(strlen(event_type) + strlen(props) AS INT) AS size FROM events")
@@ -298,8 +364,9 @@ def value_size(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "events").select("event_id", N.value_size(F.col("event_type"), F.col("props"), F.lit(None)).alias("size"))
 
 
-@query("n19_name_parsing", "SELECT event_id, event_id % 97 AS db, event_id AS node, CASE WHEN event_id % 3 = 0 THEN 2 END AS seg, CASE WHEN event_id % 2 = 0 THEN 'vm' END AS fork FROM events")
+@query("n19_name_parsing", "SELECT event_id, event_id % 97 AS db, event_id AS node, CASE WHEN event_id % 3 = 0 THEN 2 END AS seg, CASE WHEN event_id % 2 = 0 THEN 'vm' END AS fork, event_id % 4096 AS status_segment FROM events")
 def name_parsing(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(F.lit("base/"), (F.col("event_id") % 97).cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "_vm").otherwise(""), F.when(F.col("event_id") % 3 == 0, ".2").otherwise(""))
-    part = lambda k: F.nullif(F.regexp_extract(path, r"^base/(\d+)/(\d+)(?:_([a-z]+))?(?:\.(\d+))?$", k), F.lit(""))
-    return fx.table(spark, d, "events").select("event_id", part(1).cast("long").alias("db"), part(2).cast("long").alias("node"), part(4).cast("int").alias("seg"), part(3).alias("fork"))
+    e = F.col("event_id")
+    path = F.concat(F.lit("base/"), (e % 97).cast("string"), F.lit("/"), e.cast("string"), F.when(e % 2 == 0, "_vm").otherwise(""), F.when(e % 3 == 0, ".2").otherwise(""))
+    found = N.relation_path(path)
+    return fx.table(spark, d, "events").select("event_id", *[found[c].alias(c) for c in ("db", "node", "seg", "fork")], N.status_segment(F.concat(F.lit("pg_xact/"), F.lpad(F.hex(e % 4096), 4, "0"))).alias("status_segment"))

@@ -32,14 +32,13 @@ def asof_by_oid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j3_ambiguity_point", fx.LOG + ", " + fx.AMBIGUOUS_SQL + " SELECT lsn, rel, db FROM log WHERE EXISTS (SELECT 1 FROM amb WHERE lsn >= from_lsn AND lsn < through_lsn AND ((scope = 'rel' AND key = rel) OR (scope = 'db' AND key = db)))")
 def ambiguity_point(spark: SparkSession, d: str) -> DataFrame:
-    on = ((F.col("scope") == "rel") & (F.col("key") == F.col("rel"))) | ((F.col("scope") == "db") & (F.col("key") == F.col("db")))
-    return T.in_interval(fx.log(spark, d), fx.ambiguous(spark), on).select("lsn", "rel", "db")
+    return T.with_inside(fx.log(spark, d), fx.ambiguous(spark), {"rel": "rel", "db": "db"}).filter("inside").select("lsn", "rel", "db")
 
 
 @query("j4_ambiguity_overlap", fx.LOG + ", " + fx.AMBIGUOUS_SQL + ", st AS (SELECT top_xid, rel, min(lsn) AS first_lsn, max(lsn) + 1 AS last_lsn FROM log GROUP BY ALL) SELECT top_xid, rel FROM st WHERE EXISTS (SELECT 1 FROM amb WHERE scope = 'rel' AND key = rel AND first_lsn < through_lsn AND from_lsn < last_lsn)")
 def ambiguity_overlap(spark: SparkSession, d: str) -> DataFrame:
     spans = fx.log(spark, d).groupBy("top_xid", "rel").agg(F.min("lsn").alias("first_lsn"), (F.max("lsn") + 1).alias("last_lsn"))
-    return T.overlapping(spans, fx.ambiguous(spark), (F.col("scope") == "rel") & (F.col("key") == F.col("rel"))).select("top_xid", "rel")
+    return T.with_overlap(spans, fx.ambiguous(spark), {"rel": "rel"}).filter("overlaps").select("top_xid", "rel")
 
 
 _PENDING = "pend AS (SELECT rel, top_xid, min(lsn) + 40 AS valid_from, CAST(100 + top_xid % 5 AS INT) AS version FROM log WHERE top_xid % 5 = 0 GROUP BY rel, top_xid)"
@@ -67,53 +66,30 @@ def present_before(spark: SparkSession, d: str) -> DataFrame:
     return T.asof_where(fx.log(spark, d), fx.timeline(spark), ["rel"], F.col("kind") == "Present").select("lsn", "rel", "version")
 
 
-@query("w1_validity_intervals", "WITH " + fx.TIMELINE_SQL + " SELECT rel, kind, version, valid_from, valid_to FROM spans")
+@query("w1_validity_intervals", "WITH " + fx.SCHEMA_LOG_SQL + " SELECT rel, kind, version, valid_from, valid_to FROM spans")
 def validity_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return T.validity(fx.timeline(spark), ["rel"]).select("rel", "kind", "version", "valid_from", "valid_to")
+    return T.validity(fx.schema_log(spark, d), ["rel"]).select("rel", "kind", "version", "valid_from", "valid_to")
 
 
-@query("w3_schema_events", "WITH " + fx.TIMELINE_SQL + ", p AS (SELECT *, lag(kind) OVER w AS pk, lag(version) OVER w AS pv FROM tl WINDOW w AS (PARTITION BY rel ORDER BY valid_from)) SELECT rel AS oid, valid_from AS captured_at, CASE WHEN kind <> 'Present' THEN 'Dropped' WHEN pk IS NULL OR pk <> 'Present' THEN 'Added' WHEN version <> pv THEN 'Changed' ELSE 'Kept' END AS event FROM p")
+@query("w3_schema_events", "WITH " + fx.SCHEMA_LOG_SQL + ", p AS (SELECT *, lag(kind) OVER w AS pk, lag(version) OVER w AS pv FROM tl WINDOW w AS (PARTITION BY rel ORDER BY valid_from)) SELECT rel AS oid, valid_from AS captured_at, CASE WHEN kind <> 'Present' THEN 'Dropped' WHEN pk IS NULL OR pk <> 'Present' THEN 'Added' WHEN version <> pv THEN 'Changed' ELSE 'Kept' END AS event FROM p")
 def schema_events(spark: SparkSession, d: str) -> DataFrame:
-    log = fx.timeline(spark).select(F.col("rel").alias("oid"), F.col("valid_from").alias("captured_at"), "kind", "version")
+    log = fx.schema_log(spark, d).select(F.col("rel").alias("oid"), F.col("valid_from").alias("captured_at"), "kind", "version")
     return T.schema_events(log).select("oid", "captured_at", "event")
 
 
-_OLD = [(1, 1, "id", 20, True, False), (1, 2, "a", 25, False, False), (1, 3, "b", 23, False, False), (1, 4, "gone", 25, False, False), (2, 1, "id", 20, True, False)]
-_NEW = [(1, 1, "id", 20, True, False), (1, 2, "a2", 25, False, False), (1, 3, "b", 1700, False, False), (1, 4, "gone", 25, False, True), (1, 5, "c", 25, False, False), (2, 1, "id", 20, False, False)]
-_ATTR = "rel, attnum, name, type_oid, not_null, dropped"
+_FENCES = "SELECT o_orderkey AS rel, CASE o_orderkey % 3 WHEN 0 THEN 'benign' ELSE 'physical' END AS verdict, o_orderkey % 5 = 0 AS rotated, o_custkey * 10 AS first_touch, o_custkey * 8 + o_orderkey % 9000 AS covered, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey * 9 + 500 END AS next_from FROM orders"
 
 
-@query(
-    "d7_schema_diff",
-    f"WITH o AS (SELECT * FROM {fx.sql_values(_OLD, _ATTR)} WHERE NOT dropped), n AS (SELECT * FROM {fx.sql_values(_NEW, _ATTR)} WHERE NOT dropped) SELECT coalesce(o.rel, n.rel) AS rel, coalesce(o.attnum, n.attnum) AS attnum, CASE WHEN o.rel IS NULL THEN 'added' WHEN n.rel IS NULL THEN 'dropped' WHEN o.name <> n.name THEN 'renamed' WHEN o.type_oid <> n.type_oid THEN 'retyped' ELSE 'renullable' END AS change, o.name AS old_name, n.name AS new_name FROM o FULL JOIN n ON o.rel = n.rel AND o.attnum = n.attnum WHERE o.rel IS NULL OR n.rel IS NULL OR o.name <> n.name OR o.type_oid <> n.type_oid OR o.not_null <> n.not_null",
-)
-def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    columns = "rel int, attnum int, name string, type_oid int, not_null boolean, dropped boolean"
-    return T.schema_diff(fx.values(spark, _OLD, columns), fx.values(spark, _NEW, columns))
-
-
-_COMPAT = [(k, *old, *new) for k, (old, new) in enumerate([((4, "i", True, "p", True, "a"), (8, "d", True, "p", True, "a")), ((-1, "i", False, "x", False, "a"), (-1, "i", False, "e", False, "a")), ((-1, "i", False, "x", False, "a"), (-1, "i", False, "x", False, "a")), ((4, "i", True, "p", False, "a"), (4, "i", True, "p", True, "b")), ((-1, "i", False, "x", True, "a"), (-1, "d", False, "x", True, "a"))])]
-_COMPAT_COLUMNS = [f"{side}_{c}" for side in ("old", "new") for c in ("len", "align", "byval", "storage", "not_null", "name")]
-
-
-@query("d8_compatible_reader", f"SELECT id, CASE WHEN old_len <> new_len OR old_align <> new_align OR old_byval <> new_byval THEN 'physical' WHEN old_storage <> new_storage OR old_not_null <> new_not_null OR old_name <> new_name THEN 'benign' ELSE 'equal' END AS verdict FROM {fx.sql_values(_COMPAT, ', '.join(['id', *_COMPAT_COLUMNS]))}")
-def compatible_reader(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["int", "string", "boolean", "string", "boolean", "string"] * 2
-    rows = fx.values(spark, _COMPAT, ", ".join(["id int", *(f"{c} {k}" for c, k in zip(_COMPAT_COLUMNS, kinds, strict=True))]))
-    return rows.select("id", T.compatible_reader().alias("verdict"))
-
-
-_VERDICTS = [(0, "physical", False, 4000, 6000, 5000), (1, "physical", True, 4000, 6000, None), (2, "benign", False, 4000, 6000, None), (3, "physical", False, 4000, 6000, None), (4, "physical", False, 7000, 6000, None)]
-
-
-@query("d9_inplace_verdict", f"SELECT rel, CAST(first_touch AS BIGINT) AS from_lsn, CAST(least(covered, coalesce(next_from, covered)) AS BIGINT) AS through_lsn FROM {fx.sql_values(_VERDICTS, 'rel, verdict, rotated, first_touch, covered, next_from')} WHERE verdict = 'physical' AND NOT rotated AND first_touch < least(covered, coalesce(next_from, covered))")
+@query("d9_inplace_verdict", f"WITH f AS ({_FENCES}) SELECT rel, first_touch AS from_lsn, least(covered, coalesce(next_from, covered)) AS through_lsn FROM f WHERE verdict = 'physical' AND NOT rotated AND first_touch < least(covered, coalesce(next_from, covered))")
 def inplace_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return T.ambiguity(fx.values(spark, _VERDICTS, "rel int, verdict string, rotated boolean, first_touch long, covered long, next_from long"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    verdicts = fx.table(spark, d, "orders").select(key.alias("rel"), F.when(key % 3 == 0, "benign").otherwise("physical").alias("verdict"), (key % 5 == 0).alias("rotated"), (cust * 10).alias("first_touch"), (cust * 8 + key % 9000).alias("covered"), F.when(key % 4 != 0, cust * 9 + 500).alias("next_from"))
+    return T.ambiguity(verdicts)
 
 
-@query("d11_log_gc", "WITH " + fx.TIMELINE_SQL + " SELECT rel, valid_from, kind FROM spans WHERE valid_from >= 7000 OR ((valid_to IS NULL OR valid_to > 7000) AND kind = 'Present')")
+@query("d11_log_gc", "WITH " + fx.SCHEMA_LOG_SQL + " SELECT rel, valid_from, kind FROM spans WHERE valid_from >= 7000 OR ((valid_to IS NULL OR valid_to > 7000) AND kind = 'Present')")
 def log_gc(spark: SparkSession, d: str) -> DataFrame:
-    return T.collect_garbage(fx.timeline(spark), ["rel"], 7000).select("rel", "valid_from", "kind")
+    return T.collect_garbage(fx.schema_log(spark, d), ["rel"], 7000).select("rel", "valid_from", "kind")
 
 
 @query("j9_descriptor_assembly", "SELECT n_nationkey AS oid, r_name AS ns, count(c_custkey) AS n_columns, string_agg(c_name, ',' ORDER BY c_custkey) AS names, (SELECT string_agg(CAST(x AS VARCHAR), ',') FROM (SELECT s_suppkey AS x FROM supplier WHERE s_nationkey = n_nationkey ORDER BY x)) AS keys FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL".replace("(SELECT string_agg(CAST(x AS VARCHAR), ',') FROM (SELECT s_suppkey AS x FROM supplier WHERE s_nationkey = n_nationkey ORDER BY x))", "coalesce((SELECT string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '')"))
@@ -129,34 +105,37 @@ def descriptor_assembly(spark: SparkSession, d: str) -> DataFrame:
 # --- large values -----------------------------------------------------------
 
 
-@query("a3_reassemble", fx.CHUNKS + fx.POINTERS + ", g AS (SELECT p.relid, p.chunk_id, stored_size, string_agg(body, '' ORDER BY seq) AS value FROM ptr p JOIN born b ON p.relid = b.relid AND p.chunk_id = b.chunk_id WHERE NOT (p.chunk_id % 13 = 0 AND seq = 1) GROUP BY ALL), s AS (SELECT g.*, (SELECT max(seq) + 1 = count(*) FROM born b WHERE b.chunk_id = g.chunk_id AND NOT (b.chunk_id % 13 = 0 AND b.seq = 1)) AS dense FROM g) SELECT relid, chunk_id, CASE WHEN NOT dense THEN 'Missing' WHEN strlen(value) <> stored_size THEN 'Mismatch' ELSE 'Assembled' END AS status, CASE WHEN dense AND strlen(value) = stored_size THEN md5(value) END AS digest FROM s")
+@query("a3_reassemble", fx.CHUNKS + fx.POINTERS + ", g AS (SELECT p.relid, p.chunk_id, stored_size, string_agg(body, '' ORDER BY seq) AS value, max(seq) + 1 = count(*) AS dense FROM ptr p JOIN born b ON p.relid = b.relid AND p.chunk_id = b.chunk_id WHERE NOT (p.chunk_id % 13 = 0 AND seq = 1) GROUP BY ALL) SELECT relid, chunk_id, CASE WHEN dense AND strlen(value) = stored_size THEN 'Assembled' ELSE 'Mismatch' END AS status, CASE WHEN dense AND strlen(value) = stored_size THEN md5(value) END AS digest FROM g")
 def reassemble(spark: SparkSession, d: str) -> DataFrame:
+    """A value that lacks a chunk in the middle or at its end, or is of another size, is a mismatch."""
     born = fx.chunks(spark, d).filter("lsn < 1000000 AND NOT is_deleted AND NOT (chunk_id % 13 = 0 AND seq = 1)").filter("chunk_id < 10000000")
     both = born.join(fx.pointers(spark, d), ["relid", "chunk_id"])
     return V.reassemble(both, ["relid", "chunk_id"]).select("relid", "chunk_id", "status", F.md5("value").alias("digest"))
 
 
-@query("j13_inxact_detoast", fx.CHUNKS + fx.POINTERS + "SELECT p.chunk_id, count(*) AS n_chunks, CAST(sum(strlen(body)) AS BIGINT) AS bytes FROM ptr p JOIN born b ON p.relid = b.relid AND p.chunk_id = b.chunk_id GROUP BY 1")
+@query("j13_inxact_detoast", fx.CHUNKS + fx.POINTERS + ", g AS (SELECT p.chunk_id % 20 AS top_xid, p.relid, p.chunk_id, stored_size, string_agg(body, '' ORDER BY seq) AS value, max(seq) + 1 = count(*) AND min(seq) = 0 AS dense FROM ptr p JOIN born b ON p.relid = b.relid AND p.chunk_id = b.chunk_id WHERE NOT (p.chunk_id % 17 = 0 AND seq = 0) GROUP BY ALL) SELECT top_xid, relid, chunk_id, CASE WHEN dense AND strlen(value) = stored_size THEN 'Assembled' ELSE 'Mismatch' END AS status, CASE WHEN dense AND strlen(value) = stored_size THEN md5(value) END AS digest FROM g")
 def inxact_detoast(spark: SparkSession, d: str) -> DataFrame:
-    born = fx.chunks(spark, d).filter("NOT is_deleted AND chunk_id < 10000000")
-    return born.join(fx.pointers(spark, d), ["relid", "chunk_id"]).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("body")).alias("bytes"))
+    """Values from the chunks of their own transaction; of some the first chunk is in another."""
+    born = fx.chunks(spark, d).filter("NOT is_deleted AND chunk_id < 10000000").withColumn("top_xid", F.col("chunk_id") % 20 + F.when((F.col("chunk_id") % 17 == 0) & (F.col("seq") == 0), 1000).otherwise(0))
+    own = fx.pointers(spark, d).withColumn("top_xid", F.col("chunk_id") % 20)
+    return V.fetch_in_transaction(born, own).select("top_xid", "relid", "chunk_id", "status", F.md5("value").alias("digest"))
 
 
 _ALIVE = ", last AS (SELECT *, row_number() OVER (PARTITION BY relid, blkno, offnum ORDER BY lsn DESC) AS rn FROM ch WHERE lsn <= {upto}), alive AS (SELECT * FROM last WHERE rn = 1 AND NOT is_deleted)"
 
 
 def _asof_sql(upto: int) -> str:
-    return fx.CHUNKS + fx.POINTERS + _ALIVE.format(upto=upto) + ", got AS (SELECT p.relid, p.chunk_id, p.stored_size, count(seq) AS n, max(seq) AS top, string_agg(body, '' ORDER BY seq) AS value FROM ptr p LEFT JOIN alive a ON p.relid = a.relid AND p.chunk_id = a.chunk_id GROUP BY ALL), st AS (SELECT *, CASE WHEN n = 0 OR top + 1 <> n THEN 'Missing' WHEN strlen(value) <> stored_size THEN 'Mismatch' ELSE 'Assembled' END AS status FROM got) "
+    return fx.CHUNKS + fx.POINTERS + _ALIVE.format(upto=upto) + ", got AS (SELECT p.relid, p.chunk_id, p.stored_size, count(seq) AS n, max(seq) AS top, string_agg(body, '' ORDER BY seq) AS value FROM ptr p LEFT JOIN alive a ON p.relid = a.relid AND p.chunk_id = a.chunk_id GROUP BY ALL), st AS (SELECT *, CASE WHEN n = 0 THEN 'Missing' WHEN top + 1 <> n OR strlen(value) <> stored_size THEN 'Mismatch' ELSE 'Assembled' END AS status FROM got) "
 
 
 @query("j14_asof_fetch", _asof_sql(1_500_000) + "SELECT relid, chunk_id, status, CASE WHEN status = 'Assembled' THEN md5(value) END AS digest FROM st")
 def asof_fetch(spark: SparkSession, d: str) -> DataFrame:
-    return V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d), F.lit(1_500_000)).select("relid", "chunk_id", "status", F.md5("value").alias("digest"))
+    return V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d).withColumn("at", F.lit(1_500_000).cast("long"))).select("relid", "chunk_id", "status", F.md5("value").alias("digest"))
 
 
 @query("v3_asof_after_takeover", _asof_sql(9_000_000_000) + "SELECT status, count(*) AS n FROM st GROUP BY 1")
 def asof_after_takeover(spark: SparkSession, d: str) -> DataFrame:
-    return V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d), F.lit(9_000_000_000)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d).withColumn("at", F.lit(9_000_000_000))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j15_residual_tombstones", fx.CHUNKS + _ALIVE.format(upto=1_500_000) + " SELECT relid, blkno, offnum FROM alive WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.lsn > 1500000 AND ch.relid = alive.relid AND ch.blkno = alive.blkno AND ch.offnum = alive.offnum)")
@@ -170,7 +149,7 @@ _POLICY = "CASE WHEN status = 'Assembled' THEN 'filled' WHEN chunk_id % 4 = 0 TH
 
 @query("v4_miss_policy", _asof_sql(1_500_000) + f"SELECT {_POLICY} AS outcome, count(*) AS n FROM st GROUP BY 1")
 def miss_policy(spark: SparkSession, d: str) -> DataFrame:
-    got = V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d), F.lit(1_500_000))
+    got = V.fetch_asof(fx.chunks(spark, d), fx.pointers(spark, d).withColumn("at", F.lit(1_500_000).cast("long")))
     m = F.col("chunk_id") % 4
     return got.groupBy(V.miss_policy(m != 1, m == 0, F.col("status"), m != 2).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -240,18 +219,24 @@ def missing_defaults(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).select("lsn", G.with_missing_default(F.col("new.val"), 3, n_atts, F.lit(7.0)).alias("c"))
 
 
-@query("p7_partial_rejection", fx.COMMITTED + "SELECT count(*) AS n FROM done")
+@query("p7_partial_rejection", fx.COMMITTED + ", torn AS (SELECT DISTINCT top_xid FROM done WHERE lsn // 16 % 101 = 5) SELECT top_xid, count(*) AS n, top_xid IN (SELECT top_xid FROM torn) AS refused FROM done GROUP BY top_xid")
 def partial_rejection(spark: SparkSession, d: str) -> DataFrame:
-    return G.reject_partial(fx.committed(spark, d).withColumn("partial", F.col("lsn") < 0)).agg(F.count(F.lit(1)).alias("n"))
+    """Every 101st row is there only in part, and takes its transaction with it."""
+    whole, torn = G.without_partial(fx.committed(spark, d).withColumn("partial", F.expr("lsn div 16") % 101 == 5))
+    both = G.reject_partial(whole).withColumn("refused", F.lit(False)).unionByName(torn.withColumn("refused", F.lit(True)))
+    return both.groupBy("top_xid", "refused").agg(F.count(F.lit(1)).alias("n"))
 
 
-_OVERRIDES = [("Decimal(10, 2)", "String", True), ("Decimal(10, 2)", "Decimal(20, 4)", True), ("Decimal(10, 2)", "Int64", False), ("Decimal(10, 0)", "Int64", True), ("Decimal(10, 0)", "UInt64", False), ("String", "String", True), ("String", "Int32", False), ("Int32", "UInt32", True), ("Int32", "Float32", True), ("Int32", "Int64", False), ("Int64", "Decimal(18, 0)", False), ("UUID", "UInt128", True)]
+_KINDS = ("Decimal(10, 2)", "Decimal(20, 4)", "Decimal(10, 0)", "String", "Int32", "Int64", "UInt64", "UInt32", "Float32", "UUID", "UInt128", "Int128", "Bool", "DateTime64(6, 'UTC')")
+_KINDS_SQL = "[" + ", ".join("'" + k.replace("'", "''") + "'" for k in _KINDS) + "]"
+_WIDE = "CASE regexp_extract({}, '^[A-Za-z0-9]+') WHEN 'Int32' THEN 4 WHEN 'UInt32' THEN 4 WHEN 'Float32' THEN 4 WHEN 'Int64' THEN 8 WHEN 'UInt64' THEN 8 WHEN 'DateTime64' THEN 8 WHEN 'UUID' THEN 16 WHEN 'UInt128' THEN 16 WHEN 'Int128' THEN 16 WHEN 'Bool' THEN 1 END"
 
 
-@query("p8_type_override", f"SELECT * FROM {fx.sql_values(_OVERRIDES, 'was, asked, allowed')}")
+@query("p8_type_override", f"WITH t AS (SELECT p_partkey, {_KINDS_SQL}[p_partkey % {len(_KINDS)} + 1] AS was, {_KINDS_SQL}[p_partkey // {len(_KINDS)} % {len(_KINDS)} + 1] AS asked FROM part) SELECT p_partkey, was, asked, coalesce(CASE WHEN was LIKE 'Decimal%' THEN asked LIKE 'Decimal%' OR asked = 'String' OR (was LIKE '%, 0)' AND asked IN ('Int32', 'Int64', 'Int128')) WHEN was = 'String' THEN asked = 'String' WHEN asked LIKE 'Decimal%' THEN FALSE ELSE {_WIDE.format('was')} = {_WIDE.format('asked')} END, FALSE) AS allowed FROM t")
 def type_override(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.values(spark, [x[:2] for x in _OVERRIDES], "was string, asked string")
-    return rows.select("was", "asked", G.override_allowed("was", "asked").alias("allowed"))
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _KINDS)), (i % len(_KINDS) + 1).cast("int"))
+    rows = fx.table(spark, d, "part").select("p_partkey", pick(F.col("p_partkey")).alias("was"), pick(F.expr(f"p_partkey div {len(_KINDS)}")).alias("asked"))
+    return rows.select("p_partkey", "was", "asked", G.override_allowed("was", "asked").alias("allowed"))
 
 
 @query("g1_config_events", fx.COMMITTED + "SELECT lsn, op = 'D' AS removed, 'r' || rel AS scope, CASE WHEN op = 'D' OR lsn // 16 % 11 = 0 THEN 'old' ELSE 'new' END AS value FROM done WHERE rel = 3")
@@ -262,12 +247,14 @@ def config_events(spark: SparkSession, d: str) -> DataFrame:
     return G.config_events(rows).select("lsn", "removed", "scope", "value")
 
 
-_LAYERS = {"defaults": [("row_budget", "65536"), ("byte_budget", "1048576"), ("flush_ms", "100"), ("retries", "5")], "file": [("row_budget", "1000"), ("flush_ms", "-3")], "overlay": [("row_budget", "500"), ("retries", "9"), ("byte_budget", "0")], "cli": [("retries", "2")]}
+_LAYERS = {"file": ("c_custkey % 2 = 0", "c_custkey * 2"), "overlay": ("c_custkey % 3 = 0", "CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_custkey * 3 END"), "cli": ("c_custkey % 7 = 0", "c_custkey * 7")}
 
 
-@query("g2_layered_resolve", "SELECT * FROM (VALUES ('row_budget', '500', 'overlay'), ('byte_budget', '1048576', 'default'), ('flush_ms', '100', 'default'), ('retries', '2', 'cli')) AS t(key, value, source)")
+@query("g2_layered_resolve", "WITH v AS (SELECT c_name AS key, " + ", ".join(f"CASE WHEN {when} AND {value} > 0 THEN {value} END AS {name}" for name, (when, value) in _LAYERS.items()) + ", c_custkey AS base FROM customer) SELECT key, CAST(coalesce(cli, overlay, file, base) AS VARCHAR) AS value, CASE WHEN cli IS NOT NULL THEN 'cli' WHEN overlay IS NOT NULL THEN 'overlay' WHEN file IS NOT NULL THEN 'file' ELSE 'default' END AS source FROM v")
 def layered_resolve(spark: SparkSession, d: str) -> DataFrame:
-    layers = [fx.values(spark, rows, "key string, value string") for rows in _LAYERS.values()]
+    """Settings of each customer; some of the overlay's are refused, so the layer below stays."""
+    c = fx.table(spark, d, "customer")
+    layers = [c.filter(when).selectExpr("c_name AS key", f"CAST({value} AS STRING) AS value") for when, value in [("true", "c_custkey"), *_LAYERS.values()]]
     return G.layered(*layers, valid=F.col("value").cast("long") > 0)
 
 

@@ -1,4 +1,4 @@
-"""Change records in segment files, and a stream of them by log position.
+"""Change records in segment files, and a stream of them by log position.
 
 A segment holds the records of [start, end) and is named by both, in fixed-width hex, so names sort by position. The
 stream's offset is an lsn; ``maxSegments`` a trigger bounds what a micro-batch takes in.
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: kind: row, end or truncate. For ends, xid is the top transaction's; subxids lists its savepoints.
-RECORD_SCHEMA = "lsn long, tuple_idx int, kind string, xid long, rel long, op string, k long, val double, outcome string, subxids array<long>, rolled_back array<long>, ts_us long"
+from ..operators.dataflow import CHANGES
+
+#: kind: row (a change, TRUNCATE with op T included) or end. For ends, xid is the top transaction's or a prepared one's
+#: (``twophase_xid``); subxids lists its savepoints, rolled_back those that were undone.
+RECORD_SCHEMA = f"kind string, {CHANGES}, outcome string, twophase_xid bigint, subxids array<bigint>, rolled_back array<bigint>, ts_us bigint"
 _NAME = re.compile(r"^([0-9A-F]{16})-([0-9A-F]{16})\.parquet$")
 
 
@@ -137,19 +140,29 @@ class SegmentSource(DataSource):
 
 
 class Manifest:
-    """K10. A small JSON document, replaced as a whole."""
+    """K10. A small JSON document. Each writing is a file of its own with the next number, moved into place whole, so that a
+    reader finds the one before or the new one, also where a store has no atomic replace; older ones are deleted."""
 
     def __init__(self, path: str):
         self.store, self.path = pafs.FileSystem.from_uri(path)
 
+    def _files(self) -> list[str]:
+        folder, _, name = self.path.rpartition("/")
+        found = self.store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        return sorted(f.path for f in found if re.fullmatch(rf"{re.escape(name)}\.\d{{12}}\.json", f.base_name))
+
     def read(self) -> dict:
-        if self.store.get_file_info(self.path).type == pafs.FileType.NotFound:
+        if not (files := self._files()):
             return {}
-        with self.store.open_input_stream(self.path) as f:
+        with self.store.open_input_stream(files[-1]) as f:
             return json.loads(f.read())
 
     def write(self, value: dict) -> None:
-        self.store.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        before = self._files()
+        number = int(before[-1].split(".")[-2]) + 1 if before else 0
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
         with self.store.open_output_stream(f"{self.path}.new") as f:
             f.write(json.dumps(value, sort_keys=True).encode())
-        self.store.move(f"{self.path}.new", self.path)
+        self.store.move(f"{self.path}.new", f"{self.path}.{number:012d}.json")
+        for path in before:
+            self.store.delete_file(path)

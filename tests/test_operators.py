@@ -4,7 +4,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from changeloom.operators import backfill, ddl, progress, routing, timeline, versions
+from changeloom.operators import backfill, ddl, progress, ranges, records, routing, timeline, transactions, values, versions
+from changeloom.plans import fixtures
 from changeloom.sources import sinks
 
 
@@ -41,13 +42,20 @@ def test_commit_lsn_decides_between_a_load_and_a_straddling_transaction(spark):
     assert versions.latest_state(both, ["k"], ["commit_lsn", "_lsn"]).first().v == "live"
 
 
-def test_asof_by_shuffle_equals_asof_by_broadcast(spark, monkeypatch):
+def test_asof_by_shuffle_equals_asof_by_broadcast(spark):
     rng = random.Random(2)
-    log = spark.createDataFrame([(k, v, f"{k}@{v}") for k in range(4) for v in sorted(rng.sample(range(100), 6))], "rel int, valid_from int, name string")
+    log = fixtures.values(spark, [(k, v, f"{k}@{v}") for k in range(4) for v in sorted(rng.sample(range(100), 6))], "rel int, valid_from int, name string")
     changes = spark.createDataFrame([(i, rng.randrange(5), rng.randrange(120)) for i in range(200)], "id int, rel int, lsn int")
-    first = {tuple(r) for r in timeline.asof(changes, log, ["rel"]).collect()}
-    monkeypatch.setattr(timeline, "small", lambda df: df.hint("merge"))
-    assert {tuple(r) for r in timeline.asof(changes, log, ["rel"]).collect()} == first
+    joined = timeline.asof(changes, log, ["rel"])
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+    first = {tuple(r) for r in joined.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = timeline.asof(changes, log, ["rel"])
+        assert "SortMergeJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+        assert {tuple(r) for r in joined.collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_partial_rows_fail(spark):
@@ -63,6 +71,107 @@ def test_seal_by_bytes(spark):
     assert [got["t", i] for i in range(8)] == [0, 0, 1, 1, 2, 2, 2, 3] and got["u", 0] == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_seal_by_bytes_by_steps(spark, rows):
+    """Whatever the Arrow batches are, as if row by row."""
+    rng = random.Random(5)
+    data = [(t, i, rng.choice([None, 0, 1, 30, 99, 100, 250])) for t in (None, "a", "b") for i in range(rng.randrange(20, 60))]
+    want = {}
+    for t in (None, "a", "b"):
+        held = batch = 0
+        for _, i, n in sorted(r for r in data if r[0] == t):
+            want[t, i] = batch
+            held += n or 0
+            if held >= 100:
+                held, batch = 0, batch + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = progress.seal_by_bytes(spark.createDataFrame(data, "t string, lsn int, size int"), "t", "lsn", "size", 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.t, r.lsn): r.batch for r in got} == want
+
+
+def test_row_numbers_of_a_hot_group(spark):
+    """One group of nearly all rows is numbered in several ranges."""
+    rng = random.Random(6)
+    keys = rng.sample(range(10**6), 500)
+    df = spark.createDataFrame([("hot" if k % 50 else "cold", k) for k in keys], "t string, lsn long").repartition(3)
+    got = {r.lsn: (r.t, r.row) for r in ranges.row_numbers(df, "t", "lsn", 8).collect()}
+    for t in ("hot", "cold"):
+        assert [got[k] for k in sorted(k for k in keys if ("hot" if k % 50 else "cold") == t)] == [(t, i) for i in range(sum(x == t for x, _ in got.values()))]
+    assert len(ranges.range_splits(df, "lsn", 8)) >= 5
+
+
+def test_watermark_stops_at_what_is_not_there(spark):
+    acks = lambda *seqs: spark.createDataFrame([(s, s not in (6,), s != 3, s * 10) for s in seqs], "seq long, done boolean, publish boolean, commit_lsn long")
+    mark = lambda *a, **k: progress.watermark(*a, **k).first().watermark
+    assert mark(acks(0, 1, 3, 4)) == 10 and mark(acks(0, 1, 2, 3)) == 20 and mark(acks(4, 5, 6, 7)) == 50
+    assert mark(acks(4, 5), first=3) is None and mark(acks(4, 5), first=4) == 50 and mark(acks(6)) is None
+    assert mark(acks(1, 2), trailing=99) == 99 and mark(acks(1, 3), trailing=99) == 10 and mark(acks()) is None
+
+
+def test_parity_tells_tables_apart(spark):
+    one = spark.createDataFrame([("a", k, f"v{k}") for k in range(50)] + [("b", 1, None)], "g string, k int, v string")
+    two = one.withColumn("v", F.when(F.col("k") == 7, F.lit("other")).otherwise(F.col("v")))
+    own = lambda df: {r.g: (r.n, r.total, r.digest) for r in progress.parity(df, "g", "k", F.coalesce("v", F.lit("")), F.col("k")).collect()}
+    assert own(one) == own(one.repartition(7)) and own(one)["a"] != own(two)["a"] and own(one)["b"] == own(two)["b"]
+
+
+def test_truncates_of_lost_transactions_empty_nothing(spark):
+    changes = spark.createDataFrame([(1, 10, "I", 0), (2, 20, "T", 0), (3, 31, "T", 1), (4, 30, "I", 1), (5, 40, "T", 1)], "lsn long, xid long, op string, rel long")
+    ends = spark.createDataFrame([(10, "commit", 6), (20, "abort", 7), (30, "commit", 8), (40, "commit", 9)], "top_xid long, outcome string, commit_lsn long")
+    ends = ends.withColumn("commit_ts", F.lit(0))
+    rows = transactions.with_top_xid(changes, spark.createDataFrame([(31, 30)], "subxid long, top_xid long"))
+    done = transactions.committed(rows, ends, spark.createDataFrame([(31,)], "xid long"))
+    assert [tuple(r) for r in transactions.truncates(done).collect()] == [(1, 5)]
+    assert [r.lsn for r in transactions.truncated(done.filter("op != 'T'"), transactions.truncates(done)).collect()] == [1]
+
+
+def test_reassembly_outcomes(spark):
+    chunks = spark.createDataFrame([("whole", 0, "ab", 4), ("whole", 1, "cd", 4), ("gap", 0, "ab", 4), ("gap", 2, "cd", 4), ("twice", 0, "ab", 4), ("twice", 0, "ab", 4), ("late", 1, "abcd", 4), ("long", 0, "abcde", 4)], "k string, seq int, body string, stored_size long")
+    got = {r.k: (r.status, r.value) for r in values.reassemble(chunks, ["k"]).collect()}
+    assert got == {"whole": ("Assembled", "abcd"), **{k: ("Mismatch", None) for k in ("gap", "twice", "late", "long")}}
+    binary = values.reassemble(chunks.withColumn("body", F.col("body").cast("binary")), ["k"]).filter("k = 'whole'").first()
+    assert bytes(binary.value) == b"abcd"
+
+
+def test_fetch_asof_each_at_its_own_position(spark):
+    store = spark.createDataFrame([(1, 1, 0, 7, 0, "ab", 10, False), (1, 1, 1, 7, 1, "cd", 11, False), (1, 1, 0, None, None, None, 20, True), (1, 1, 0, 8, 0, "xy", 30, False), (1, 2, 0, 7, 0, "AB", 40, False)] * 2, "relid long, blkno long, offnum int, chunk_id long, seq int, body string, lsn long, is_deleted boolean")
+    at = [(1, 7, 4, x) for x in (5, 10, 15, 25, 35, 45)] + [(1, 8, 2, 25), (1, 8, 2, 35), (1, 9, 1, 50), (1, 7, 999, 45)]
+    got = {(r.chunk_id, r.stored_size, r["at"]): (r.status, r.value) for r in values.fetch_asof(store, spark.createDataFrame(at, "relid long, chunk_id long, stored_size long, at long"), cap=100).collect()}
+    assert got == {
+        (7, 4, 5): ("Missing", None), (7, 4, 10): ("Mismatch", None), (7, 4, 15): ("Assembled", "abcd"), (7, 4, 25): ("Mismatch", None), (7, 4, 35): ("Mismatch", None), (7, 4, 45): ("Assembled", "ABcd"),
+        (8, 2, 25): ("Missing", None), (8, 2, 35): ("Assembled", "xy"), (9, 1, 50): ("Missing", None), (7, 999, 45): ("TooLarge", None),
+    }
+
+
+def test_undecided_tuples_fail_a_load(spark):
+    rows = spark.createDataFrame([(9, 0, 0x0100, "Committed", None, None), (9, 5, 0x1100, "Committed", None, None)], "xmin long, xmax long, infomask int, xmin_status string, xmax_status string, updater_status string")
+    assert backfill.gated_load(rows.limit(1), 70).first()["_lsn"] == 70
+    with pytest.raises(PySparkException, match="undecided tuple"):
+        backfill.gated_load(rows, 70).collect()
+    verdict = lambda has_log: [r.v for r in rows.select(backfill.visibility(has_log=F.lit(has_log)).alias("v")).collect()]
+    assert verdict(True) == ["Emit", "Unresolvable"] and verdict(False) == ["Emit", "Defer"]
+    unknown = rows.limit(1).withColumns({"infomask": F.lit(0), "xmin_status": F.lit(None).cast("string")})
+    assert unknown.select(backfill.visibility().alias("v")).first().v == "Defer"
+
+
+def test_descriptors_of_a_catalog_with_a_double(spark):
+    tables = lambda *attnums: (spark.createDataFrame([(1, 9)], "oid long, ns_oid long"), spark.createDataFrame([(1, k, f"c{k}", 25, False) for k in attnums], "oid long, attnum int, name string, type_oid int, not_null boolean"), spark.createDataFrame([(9, "s")], "ns_oid long, ns string"), spark.createDataFrame([], "oid long, attnum int"))
+    assert [a.attnum for a in timeline.assemble_descriptors(*tables(2, 1)).first().attributes] == [1, 2]
+    with pytest.raises(PySparkException, match="column twice: 1"):
+        timeline.assemble_descriptors(*tables(1, 1)).collect()
+    classes, *rest = tables(1)
+    with pytest.raises(PySparkException, match="relation twice: 1"):
+        timeline.assemble_descriptors(classes.union(classes), *rest).collect()
+
+
+def test_rowless_and_ineligible(spark):
+    df = spark.createDataFrame([("Heap", "INSERT"), ("Heap", "LOCK"), ("Heap2", "MULTI_INSERT"), ("Heap2", "VISIBLE"), ("Btree", "INSERT")], "rmgr string, operation string")
+    assert [r.ok for r in df.select(records.yields_rows().alias("ok")).collect()] == [True, False, True, False, False]
+
+
 def test_staged_load(spark, tmp_path):
     staged = spark.createDataFrame([(1, "a", 50)], "k int, v string, _lsn int")
     live = spark.createDataFrame([(1, "old", 40), (2, "new", 60)], "k int, v string, _lsn int")

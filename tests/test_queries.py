@@ -35,8 +35,9 @@ def test_equals_sql(spark, duck, name):
     assert mine == sorted(tuple(map(plain, r)) for r in found.select(*[duckdb.ColumnExpression(n) for n in names]).fetchall())
 
 
-def test_all_queries_have_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+def test_queries_without_sql():
+    """DuckDB has no CRC-32C; ``test_raw.py`` holds that one to its definition."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"n14_crc32c"}
 
 
 def test_entry_and_plans(spark):
