@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranges import range_splits, with_range  # noqa: F401
+from ..sources.shared import Scratch, materialise, new_path, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python helper holds in its own buffers at a time; a longer text is a slice by itself.
 SLICE_BYTES = 2 << 20
 #: Rows and bytes of an Arrow batch, where the session sets none.
@@ -25,79 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``, with its file system.
-
-    Where it is unset, a session of one machine (``local[...]``) gets a folder of its own, and any other an error: what
-    executors write to their own disks, others can't read.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='changeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if "://" not in path:
-        path = path.removeprefix("file:")
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-        path = f"{'file://' if default.startswith('file:') else default.rstrip('/')}{path}"
-    return path.rstrip("/")
-
-
-_written: list[str] = []
-
-
-@atexit.register
-def _clean_up() -> None:
-    """Intermediate files go with the driver's process, where their store is one that it can reach."""
-    for path in _written:
-        try:
-            store, root = pafs.FileSystem.from_uri(path)
-            if store.get_file_info(root).type == pafs.FileType.Directory:
-                store.delete_dir(root)
-        except (pa.ArrowException, OSError):
-            continue
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    _written.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _written:
-        _written.remove(path)
-
-
-class Scratch:
-    """Intermediate tables by name, in the shared folder. Writing cuts the lineage, so a lost executor loses nothing."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def write(self, df: DataFrame, what: str) -> DataFrame:
-        """Write and read back; a table of the same name that was there before is deleted after."""
-        path, before = new_path(self.spark, what), self.paths.get(what)
-        df.write.parquet(path)
-        self.paths[what] = path
-        if before:
-            delete(self.spark, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for what in names or list(self.paths):
-            if path := self.paths.pop(what, None):
-                delete(self.spark, path)
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back, for as long as the driver runs."""
-    return Scratch(df.sparkSession).write(df, what)
-
-
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with Arrow batches of bounded size."""
     bound_batches(df.sparkSession)
@@ -120,25 +45,6 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataF
     return F.broadcast(df) if rows <= limit else df
 
 
-def range_splits(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 split points of a numeric key into ranges of about as many rows."""
-    if n <= 1:
-        return []
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], min(0.01, 0.2 / n))
-    return sorted(set(map(int, found)))
-
-
-def with_range(df: DataFrame, key: str, splits: list[int], name: str) -> DataFrame:
-    """``name``: which of the ranges between ``splits`` a key is in, by binary search in the JVM (0 for null)."""
-    if not splits:
-        return df.withColumn(name, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    edges = [-float("inf"), *map(float, splits), float("inf")]
-    keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(-float("inf"))))
-    return Bucketizer(splits=edges, inputCol="_key", outputCol="_range").transform(keyed).withColumn(name, F.col("_range").cast("int")).drop("_key", "_range")
-
-
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) whose texts hold about ``limit`` bytes together."""
     ends = np.cumsum(np.diff(byte_offsets(texts)))

@@ -68,6 +68,20 @@ def test_pack_documents(spark, whole):
     assert pack_documents(df.limit(0), PATH).count() == 0
 
 
+def test_a_document_longer_than_its_pool(spark, whole):
+    """Pools of a hundred tokens, one document of thousands, and ties of equal lengths."""
+    rows = [(k, "a b c d e f g h") for k in range(40)] + [(99, "hello world " * 3000), (100, "tail end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = pack_documents(df, PATH, pool_tokens=100, with_ids=True).collect()
+    got, places = {}, {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert {d: ids[:-1] for d, ids in got.items()} == {d: whole(t) for d, t in rows} and all(ids[-1] == 1 for ids in got.values())
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+
+
 def test_whole_while_any_sequence_has_room():
     """Every tail goes to the sequence of lowest cost among all that have room, also where many cheaper ones lack it."""
     rng = random.Random(4)

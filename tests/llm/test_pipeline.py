@@ -3,6 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
+from changeloom.llm.common import Scratch
 from changeloom.llm.toxicity import Matcher
 from changeloom.llm.queries import toxicity_model
 from tests.llm.test_decontaminate import brute as brute_hits
@@ -65,3 +66,24 @@ def test_stages(spark, folder):
 def test_model_is_of_the_labels(spark, folder):
     model = toxicity_model(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
     assert {"zork", "vile"} & {t.rstrip("*") for t in model.lexicon} and Matcher(model).score("nothing") < 0.5
+
+
+@pytest.mark.parametrize("case", ["empty tables", "nulls and repeats"])
+def test_edges(spark, tmp_path, case):
+    """No documents, benchmark or labels; null and repeated doc_ids, and columns named like the stages' own."""
+    path, text = f"file://{tmp_path}", "the quiet river runs along the old stone wall toward the harbour"
+    rows = [] if case == "empty tables" else [(1, text, "en"), (1, text, "en"), (None, text, "en"), (None, None, None), (2, f"{text} and back again by the hill", "en"), (3, text.upper(), None), (4, "", "en")]
+    extra = "score double, row string, component string, key int, c0 string, spans string, id long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    spark.createDataFrame([(d, t, g, "s", len(t or ""), 0.5, "r", "c", 1, "z", "s", 9) for d, t, g in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, scratch = docs.columns, Scratch(spark)
+    for name, stage in P.STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, path), name)
+        assert docs.columns == columns
+    want = [] if case == "empty tables" else [(None, text), (1, text), (1, text), (2, f"{text} and back again by the hill")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+    packed = P.pack(spark, docs, path).collect()
+    assert sorted({r.doc_id for r in packed}, key=str) == sorted({d for d, _ in want}, key=str)
