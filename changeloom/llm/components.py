@@ -9,6 +9,8 @@ from .common import Scratch
 
 #: Rounds grow with the logarithm of the longest path; far more than any graph needs.
 MAX_ROUNDS = 60
+#: Links that one file of a round holds, so that a few links are not many small files.
+FILE_LINKS = 500_000
 
 
 def _neighbours_to_least(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,9 +40,9 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
         edges = edges.unionByName(start.select(F.col("component").alias("a"), F.col("id").alias("b")))
     scratch = Scratch(links.sparkSession)
     edges = scratch.write(edges.filter("a < b").distinct(), "edges")
-    before = None
+    before, files = None, -(-edges.count() // FILE_LINKS) or 1  # links never grow in number
     for _ in range(MAX_ROUNDS):
-        edges = scratch.write(_neighbours_to_least(_neighbours_to_least(edges, True), False), "edges")
+        edges = scratch.write(_neighbours_to_least(_neighbours_to_least(edges, True), False).coalesce(files), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -48,6 +50,6 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
     else:
         raise RuntimeError("components did not settle")
     ids = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    out = scratch.write(ids.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()), "components")
+    out = scratch.write(ids.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()).coalesce(2 * files), "components")
     scratch.drop("edges")
     return out

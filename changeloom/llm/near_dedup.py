@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, bounded_broadcast, filled, map_batches, materialise, partitions, slices, split_mix
-from .components import connected_components
+from .components import FILE_LINKS, connected_components
 from .wordhash import SPACED, distinct_by_row, shingles, words_of
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -162,7 +162,8 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
     pairs = scratch.write(pairs, "pairs")
-    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.write(ids.coalesce(-(-2 * pairs.count() // FILE_LINKS) or 1), "pair-ids")
     sets = scratch.write(_shingle_sets(docs, ids, ids.count()).select("id", "items"), "pair-sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
@@ -319,7 +320,7 @@ def _linked_across(docs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: S
     bound_batches(docs.sparkSession)
     n, by = partitions(docs.sparkSession), ["key", "ordinal", "i", "j"]  # the groups' bytes are few, their work is not
     some = scratch.write(rows.repartition(n, *by).groupBy(*by).applyInArrow(involved, schema), "across")
-    ids = scratch.write(some.select("id").distinct(), "across-ids")
+    ids = scratch.write(some.select("id").distinct().coalesce(-(-some.count() // FILE_LINKS) or 1), "across-ids")
     full = some.join(_shingle_sets(docs, ids, ids.count()), ["id", "set_a"])
     return scratch.write(full.repartition(n, *by).groupBy(*by).applyInArrow(confirm, "a long, b long"), "links")
 
