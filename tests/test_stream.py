@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql.types import StructType
@@ -8,6 +9,7 @@ from changeloom.operators.dataflow import ATTRIBUTES, CHANGES, ENDS, Timelines
 from changeloom.operators.ddl import Column
 from changeloom.sources.segments import RECORD_SCHEMA, Manifest, SegmentSource, list_segments, read_range, trim_segments, write_segments
 from changeloom.streaming.apply import ChangeApplier, RefusedTransactions, stream
+from changeloom.streaming.gauges import Gauges
 
 
 COLUMNS = (Column(1, "k", "bigint", False), Column(2, "val", "double"))
@@ -140,9 +142,18 @@ def test_file_stream(spark, tmp_path):
     rows, want = records(4)
     for k in range(3):
         frame(spark, rows[k * 150 : (k + 1) * 150 if k < 2 else None]).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    applier = applier_of(spark, f"file://{tmp_path}/a")
-    applier.start(stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/c").awaitTermination()
+    applier, gauges = applier_of(spark, f"file://{tmp_path}/a"), Gauges()
+    spark.streams.addListener(gauges)
+    try:
+        applier.start(stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/c").awaitTermination()
+        for _ in range(100):
+            if any(own.get("running") == 0 for own in gauges.streams.values()):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(gauges)
     assert state_of(applier) == want
+    assert f"changeloom_stream_rows {len(rows)}\n" in gauges.text() and "changeloom_stream_running 0\n" in gauges.text()
 
 
 def test_table_equals_stream(spark, tmp_path):
