@@ -1,8 +1,9 @@
 """Byte-level BPE ids over Arrow batches: every distinct word of a batch is encoded once by the tokenizers library.
 
-A byte-level BPE cuts a text into pieces before it merges, and no piece runs from a non-space into the space
-behind it. So a text may be cut before every single space, and the ids of the parts, end to end, are the ids of
-the text. Texts in which a space touches other white space, or that may hold an added token, are encoded whole.
+A byte-level BPE cuts a text into pieces before it merges. No piece runs from a non-space into the space behind it, and
+none goes on behind a run of letters. So a text may be cut before every single space and wherever a run of ASCII
+letters ends in another ASCII character, and the ids of the parts, end to end, are the ids of the text. Texts in which a
+space touches other white space, or that may hold an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .common import byte_offsets, text_bytes
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
 #: Words that the library gets as one string.
 JOINED_WORDS = 50_000
+_LETTER, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_WHITE[9:14] = _WHITE[28:33] = True
 
 
 @functools.cache
@@ -94,33 +98,32 @@ class BatchEncoder:
         odd = self._whole(texts, data, at)
         if odd.all():
             return self._direct(texts)
-        plain = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
-        parts = pc.split_pattern(plain, " ")
-        first = parts.offsets.to_numpy().astype(np.int64)
-        first -= first[0]
-        coded = parts.flatten().dictionary_encode()
+        if odd.any():
+            plain = pc.if_else(pa.array(odd), "", texts)
+            data, at = text_bytes(plain), byte_offsets(plain)
+        letter, begins = _LETTER[data], data == 32
+        begins[1:] |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+        begins[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(begins)
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy() * 2 + 1  # with the space before it
-        codes[first[:-1]] -= 1  # a text's first part has none
-        used = np.zeros(2 * len(words), bool)
-        used[codes] = True
         if self.n_words > CACHE_WORDS:
             self._forget()
-        wanted = np.flatnonzero(used)
-        asked = [f" {words[c >> 1]}" if c & 1 else words[c >> 1] for c in wanted.tolist()]
-        new = np.fromiter((w not in self.words for w in asked), bool, len(asked))
-        strings = list(itertools.compress(asked, new))
+        new = np.fromiter((w not in self.words for w in words), bool, len(words))
+        strings = list(itertools.compress(words, new))
         if strings:
-            spaced = wanted[new] & 1
             sizes, plain = self._shapes(coded.dictionary, words)
-            self._learn(strings, sizes[wanted[new] >> 1] + spaced, plain[wanted[new] >> 1] & (spaced == 1))
-        slot = np.zeros(2 * len(words), np.int32)
-        slot[wanted] = np.fromiter(map(self.words.__getitem__, asked), np.int32, len(asked))
+            self._learn(strings, sizes[new], plain[new])
         if len(self.ids) > 1:
             self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes[0])]).astype(np.int32)), pa.array(self.ids[0]))
-        taken = by_word.take(pa.array(slot[codes]))
-        out, offsets = taken.values.to_numpy(), taken.offsets.to_numpy()[first].astype(np.int64)
+        if words:
+            slot = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+            by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes[0])]).astype(np.int32)), pa.array(self.ids[0]))
+            taken = by_word.take(pa.array(slot[coded.indices.to_numpy()]))
+            out, offsets = taken.values.to_numpy(), taken.offsets.to_numpy()[np.searchsorted(starts, at)].astype(np.int64)
+        else:
+            out, offsets = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         for w in strings:
             if len(w) > CACHE_WORD_BYTES:
                 del self.words[w]  # long parts would fill the cache
@@ -130,15 +133,15 @@ class BatchEncoder:
 
     @staticmethod
     def _shapes(dictionary: pa.Array, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of each word, and whether it neither is empty nor begins or ends with white space."""
+        """Bytes of each word, and whether it begins with a space and has neither white space behind that nor at its end."""
         data, at = text_bytes(dictionary), byte_offsets(dictionary)
         sizes = np.diff(at)
-        plain = sizes > 0
-        for ends in (at[:-1], at[1:] - 1):
-            byte = data[np.clip(ends, 0, max(0, len(data) - 1))] if len(data) else np.zeros(len(sizes), np.uint8)
-            plain &= ~(((byte >= 9) & (byte <= 13)) | ((byte >= 28) & (byte <= 32)))
+        plain = (sizes > 1) & (data[at[:-1]] == 32)
+        for ends in (at[:-1] + 1, at[1:] - 1):
+            byte = data[np.minimum(ends, len(data) - 1)]
+            plain &= ~_WHITE[byte]
             for k in np.flatnonzero(plain & (byte >= 0x80)).tolist():
-                plain[k] = not (words[k][0].isspace() or words[k][-1].isspace())
+                plain[k] = not (words[k][1].isspace() or words[k][-1].isspace())
         return sizes, plain
 
     def _whole(self, texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
