@@ -21,6 +21,8 @@ from .common import byte_offsets, text_bytes
 
 #: Distinct words kept from batch to batch, and the longest of them in bytes.
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+#: Bytes of text to encode at a time: the more, the more words are there again.
+ENCODED_BYTES = 2 << 20
 #: Words that the library gets as one string.
 JOINED_WORDS = 50_000
 _LETTER, _WHITE = np.zeros(256, bool), np.zeros(256, bool)

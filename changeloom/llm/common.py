@@ -14,7 +14,7 @@ from ..operators.ranges import range_splits, with_range  # noqa: F401
 from ..sources.shared import Scratch, materialise, new_path, shared_dir  # noqa: F401
 
 #: Bytes of text that a Python helper holds in its own buffers at a time; a longer text is a slice by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, where the session sets none.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, filled, map_batches, slices
 from .wordhash import ALNUM, Words, words_of
 
-WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE = 10, 1_000_000, 16 << 20, 8
+WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE = 10, 1_000_000, 4 << 20, 8
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BatchEncoder
+from .bpe import ENCODED_BYTES, BatchEncoder
 from .common import filled, map_batches, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -138,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
         held = pool = 0
         for batch in batches:
             texts = filled(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 flat, at = encoder.encode(texts.slice(a, b - a))
                 for k, doc in enumerate(batch.column("doc_id").slice(a, b - a).to_pylist()):
                     ids.append(np.append(flat[at[k] : at[k + 1]], np.int32(end_id)).astype("<u4"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import BatchEncoder
+from .bpe import ENCODED_BYTES, BatchEncoder
 from .common import filled, map_batches, partitions, range_splits, slices, with_range
 
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
@@ -42,7 +42,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
         encoder, at_shard, start = BatchEncoder(tokenizer_path), None, 0
         for batch in batches:
             texts = filled(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 flat, at = encoder.encode(texts.slice(a, b - a))
                 sizes = np.diff(at) + 1
                 ids = np.insert(flat, at[1:], end_id)
